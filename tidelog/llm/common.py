@@ -63,6 +63,26 @@ def slices(batch: pa.RecordBatch, texts: int, max_rows: int = 256, max_bytes: in
         yield batch.slice(start)
 
 
+def runs(batches, key: int = 0):
+    """(key, table) of each run of equal values in column number key of sorted batches; a run is held whole."""
+    import numpy as np
+
+    current, held = None, []
+    for batch in batches:
+        names = np.array(batch.column(key).to_pylist(), object)
+        cuts = [0, *(np.nonzero(names[1:] != names[:-1])[0] + 1).tolist(), len(names)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop == start:
+                continue
+            if held and names[start] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = names[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), where component
     is the smallest node reachable. Nodes are longs; loops and repeated edges are harmless.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, runs, stored
 
 THRESHOLD, MISS, CHUNK, BOUND = 0.98, 1e-5, 512, 5.0
 SEED = 5
@@ -160,35 +160,20 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
 
-        def result(parts: list[pa.RecordBatch]) -> list[tuple[int, int, int]]:
-            t = pa.Table.from_batches(parts)
+        def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "n", "b"])
+
+        found: list[tuple[int, int, int]] = []
+        for _, t in runs(batches):
             if t.num_rows < 2:
-                return []
+                continue
             vectors = t.column("raw").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             turn = turns.setdefault(vectors.shape[1], rotation(vectors.shape[1], bits * groups))
             rows = {"rep": t.column("r").to_numpy(), "copies": t.column("copies").to_numpy(), "second": t.column("second").to_numpy(zero_copy_only=False).astype(bool), "raw": vectors}
-            return block_links(rows, turn, bits, groups, t.column("grp")[0].as_py(), threshold)
-
-        def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "n", "b"])
-
-        block, held, found = None, [], []
-        for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
-            cuts = [0, *(np.nonzero(names[1:] != names[:-1])[0] + 1).tolist(), len(names)]
-            for start, stop in zip(cuts, cuts[1:]):
-                if stop == start:
-                    continue
-                if names[start] != block:
-                    if held:
-                        found += result(held)
-                    block, held = names[start], []
-                held.append(batch.slice(start, stop - start))
-                if len(found) > 20_000:
-                    yield batch_of(found)
-                    found = []
-        if held:
-            found += result(held)
+            found += block_links(rows, turn, bits, groups, t.column("grp")[0].as_py(), threshold)
+            if len(found) > 20_000:
+                yield batch_of(found)
+                found = []
         yield batch_of(found)
 
     dealt = placed.repartition("block").sortWithinPartitions("block")

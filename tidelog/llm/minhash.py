@@ -5,8 +5,10 @@ slot of the signature keeps the least value of all elements. Slots of an element
 Elements of a set advance through j together and stop once every slot holds a value below the next j: no later value can
 win. Bands of the signature make buckets; every candidate pair is verified on the full sets of shingles.
 
-Documents of one set are first reduced to the smallest doc_id. In each bucket all members are compared with its smallest member;
-what that leaves in different components is compared pair by pair across components. Links make components by contraction.
+Documents of one set are first reduced to the smallest doc_id. In each bucket all members are compared with its smallest member.
+Buckets that this leaves in several components are cut into chunks, and tasks compare two chunks at a time: the sets' elements make
+an inverted index that counts all intersections at once, and a task returns a link for each two components that it joins, never its pairs.
+Those links are verified like the others. Links make components by contraction.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lower-cased. A text without words has no shingles and links with nothing.
 Rows of one doc_id are one node. Rows without doc_id link with nothing, have no component and are kept.
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, slices, stored
+from .common import components, discard, runs, slices, stored
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: So many candidate documents' ids (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 GROUP_ELEMENTS, MEMO_WORDS = 100_000, 500_000
+#: A chunk has about so many documents, or elements of sets, at most.
+CHUNK_DOCS, CHUNK_ELEMENTS = 256, 400_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +186,74 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return out
 
 
+def joining_pairs(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, classes: list[int], percent: int) -> list[tuple[int, int]]:
+    """Of all pairs of a set in first and a set in second (indexes) that are similar enough, one for each two classes it joins."""
+    sizes = np.array([len(s) for s in sets])
+    right = np.concatenate([sets[j] for j in second])
+    holder = np.repeat(np.arange(len(second)), sizes[second])
+    order = np.argsort(right, kind="stable")
+    right, holder = right[order], holder[order]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i in first.tolist():
+        low, high = np.searchsorted(right, sets[i], "left"), np.searchsorted(right, sets[i], "right")
+        n = high - low
+        if not n.any():
+            continue
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(second))
+        for j in second[100 * both >= percent * (sizes[i] + sizes[second] - both)].tolist():
+            a, b = find(classes[i]), find(classes[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _between(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components within a bucket; rest: (bucket, rep, n, component, chunks)."""
+    ids = stored(rest.select(F.col("rep").alias("doc_id")).distinct(), "apart-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(size)
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hasher(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "elements"])
+
+    sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(hashed, "rep long, elements array<long>")
+    sets = stored(sets.dropDuplicates(["rep"]), "apart-sets")
+    mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")
+    members = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.select("rep", "component", F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("alone"))
+    placed = members.join(sets, "rep").select("block", "rep", "component", "second", "alone", "elements")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs(batches):
+            rep, component = t.column("rep").to_pylist(), t.column("component").to_pylist()
+            if len(set(component)) < 2:
+                continue
+            found = [np.sort(np.array(x.values.to_numpy(), np.int64).view(np.uint64)) for x in t.column("elements")]
+            second = t.column("second").to_numpy(zero_copy_only=False).astype(bool)
+            everyone = np.arange(len(rep))
+            one, two = (everyone, everyone) if t.column("alone")[0].as_py() else (everyone[~second], everyone[second])
+            if len(one) and len(two):
+                pairs = joining_pairs(found, one, two, component, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([min(rep[i], rep[j]) for i, j in pairs], pa.int64()), pa.array([max(rep[i], rep[j]) for i, j in pairs], pa.int64())], names=["a", "b"])
+
+    out = stored(placed.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long").distinct(), "joining-pairs")
+    for t in (ids, sets):
+        discard(t)
+    return out
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs."""
     spark = docs.sparkSession
@@ -202,18 +274,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     edges = links if same is None else links.unionAll(same)
     labels = components(edges)
     # What the hubs left apart: members of one bucket in different components.
-    named = stored(within.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", "n", F.coalesce("component", "rep").alias("component")), "bucket-components")
-    apart = stored(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "buckets-apart")
-    rest = stored(named.where("rep <> hub").join(apart, "bucket", "left_semi"), "members-apart")
-    other = rest.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    second = rest.join(other, "bucket").where("rep < rep2 and component <> component2").where(near("n", "n2")).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    second = stored(second, "pairs-apart")
-    if not second.isEmpty():
-        more = verified(second, docs, size, percent)
+    named = stored(within.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")), "bucket-components")
+    apart = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("elements")).where("x <> y")
+    apart = stored(apart.select("bucket", F.greatest(F.ceil(F.col("members") / CHUNK_DOCS), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).cast("int").alias("chunks")), "buckets-apart")
+    rest = stored(named.join(apart, "bucket"), "members-apart")
+    if not rest.isEmpty():
+        more = verified(_between(rest, docs, size, percent), docs, size, percent)
         if not more.isEmpty():
             labels = components(edges.unionAll(more))
     by_set = stored(sets.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "set-components")
-    for t in (shared, within, named, apart, rest, second):
+    for t in (shared, within, named, apart, rest):
         discard(t)
     rows = ready.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
     out = rows.join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
