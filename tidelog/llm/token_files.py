@@ -17,6 +17,7 @@ Defined results: a null or empty text is a document of the end id alone; repeate
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -33,31 +34,39 @@ BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: The dictionary is trained on at most so many documents (those of least hash of doc_id), of each at most so many tokens.
 DICTIONARY_DOCS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer that drops ASCII white space and never joins across it: each word between is encoded once
-    by the library and remembered."""
+    by the library and remembered. The memory has two generations, so that words in use survive when it is emptied."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks themselves are parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         import numpy as np
 
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         split = [t.encode().split() for t in texts]
-        missing = list({w for words in split for w in words if w not in memo})
+        missing = []
+        for w in {w for words in split for w in words if w not in memo}:
+            known = older.get(w)
+            if known is None:
+                missing.append(w)
+            else:
+                memo[w] = known
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 memo[w] = np.array(e.ids, self.kind).tobytes()
         end = np.array([end_id], self.kind).tobytes()
         return [b"".join([memo[w] for w in words]) + end for words in split]
