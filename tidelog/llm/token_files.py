@@ -34,7 +34,8 @@ BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: The dictionary is trained on at most so many documents (those of least hash of doc_id), of each at most so many tokens.
 DICTIONARY_DOCS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
+MARK, MARKED_WORDS = "0", 200
 
 
 class WordCoder:
@@ -48,8 +49,41 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.mark = self._mark()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _mark(self) -> int | None:
+        """The id of MARK, if it is one token that stands by itself between words."""
+        mark, a, b, all_ = self._ids([MARK, "a", "b", f"a {MARK} b"])
+        return mark[0] if len(mark) == 1 and all_ == a + mark + b else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words: many at a time with a mark between, as calls cost more than words. Words that hold the mark go by themselves."""
+        import numpy as np
+
+        memo, alone = self.memo, words
+        if self.mark is not None:
+            sign = MARK.encode()
+            alone, joint = [w for w in words if sign in w], [w for w in words if sign not in w]
+            for i in range(0, len(joint), MARKED_WORDS):
+                part = joint[i : i + MARKED_WORDS]
+                ids = np.array(self._ids([(b" %s " % sign).join(part).decode()])[0], self.kind)
+                cuts = np.nonzero(ids == self.mark)[0].tolist()
+                if len(cuts) != len(part) - 1:
+                    alone += part
+                    continue
+                raw, width, start = ids.tobytes(), ids.itemsize, 0
+                for w, cut in zip(part, [*cuts, len(ids)]):
+                    memo[w] = raw[width * start : width * cut]
+                    start = cut + 1
+        for i in range(0, len(alone), 20_000):
+            part = alone[i : i + 20_000]
+            for w, ids in zip(part, self._ids([w.decode() for w in part])):
+                memo[w] = np.array(ids, self.kind).tobytes()
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         import numpy as np
 
@@ -58,18 +92,15 @@ class WordCoder:
         memo, older = self.memo, self.older
         split = [t.encode().split() for t in texts]
         missing = []
-        for w in {w for words in split for w in words if w not in memo}:
+        for w in set().union(*split).difference(memo):
             known = older.get(w)
             if known is None:
                 missing.append(w)
             else:
                 memo[w] = known
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, self.kind).tobytes()
+        self._learn(missing)
         end = np.array([end_id], self.kind).tobytes()
-        return [b"".join([memo[w] for w in words]) + end for words in split]
+        return [b"".join(map(memo.__getitem__, words)) + end for words in split]
 
 
 _coders: dict[str, WordCoder] = {}
@@ -150,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
         held, size = [], 0
         block = lambda: pa.RecordBatch.from_arrays([pa.array([pack_block(held, width, dictionary_hash)[:-1]], pa.binary())], names=["block"])
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, max_bytes=2_000_000):
                 ids = coder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 for doc_id, raw in zip(part.column(0).to_pylist(), ids):
                     held.append((doc_id, raw, packer.compress(raw)))
