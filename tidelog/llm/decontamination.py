@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WINDOW, LEAST, COVER, CONSISTENT = 8, 5, 0.5, 0.8
+WINDOW, LEAST, COVER, CONSISTENT = 8, 5, 0.5, 0.9
 #: So many distinct benchmark windows (8 bytes of hash, two numbers each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -49,11 +49,11 @@ def windows(tokens: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (item_id, item_tokens, size, h, place) of the windows that can tell a leak."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).groupBy("item_id").agg(F.max("t").alias("t"))
+    """Rows (item_id, variant, size, place, h, slots) of the windows that can tell a leak; a variant is one of the texts of an item_id."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).distinct().withColumn("variant", F.xxhash64("t"))
     items = items.withColumn("tokens", template_tokens(F.col("t"))).withColumn("raw", raw_tokens(F.col("t"))).where(F.size("tokens") >= LEAST)
     sizes = [
-        items.where(F.size("tokens") >= WINDOW if size == WINDOW else F.size("tokens") == size).select("item_id", "tokens", "raw", F.lit(size).alias("size"), F.posexplode(windows(F.col("tokens"), size)).alias("place", "h"))
+        items.where(F.size("tokens") >= WINDOW if size == WINDOW else F.size("tokens") == size).select("item_id", "variant", "tokens", "raw", F.lit(size).alias("size"), F.posexplode(windows(F.col("tokens"), size)).alias("place", "h"))
         for size in range(LEAST, WINDOW + 1)
     ]
     found = sizes[0]
@@ -63,13 +63,13 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     literal = F.size(F.filter(window, lambda t: ~t.contains("\u0001")))
     found = found.where(2 * literal >= F.col("size"))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("place") + i).alias("at"), F.element_at("tokens", F.col("place") + i + 1).alias("kind"), F.element_at("raw", F.col("place") + i + 1).alias("value"))), lambda s: s["kind"].contains("\u0001"))
-    return found.select("item_id", "size", "place", "h", slots.alias("slots"))
+    return found.select("item_id", "variant", "size", "place", "h", slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, cover, consistent), one for each document and item that leaks into it."""
     bench = stored(benchmark_windows(benchmark), "benchmark-windows")
-    totals = bench.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    totals = bench.groupBy("item_id", "variant").agg(F.count("*").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     small = bench.count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda df: df)
@@ -79,26 +79,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sized = lambda size: F.transform(windows(F.col("tokens"), size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
     hashes = F.concat(*map(sized, sizes)) if sizes else F.array().cast("array<struct<size:int,at:int,h:bigint>>")
     opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.size", "w.at", "w.h")
-    hits = opened.join(near(bench), ["size", "h"]).select("doc_id", "item_id", "at", "place", "slots")
+    hits = opened.join(near(bench), ["size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "slots")
     # An item's window counts once in a document; a document's rows are combined before they move.
-    hits = stored(hits.groupBy("doc_id", "item_id", "place").agg(F.min("at").alias("at"), F.first("slots").alias("slots")), "window-hits")
-    cover = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.max(F.size("slots")).alias("slots"))
-    found = stored(cover.join(near(totals), "item_id").where(F.col("n") >= COVER * F.col("n_windows")).select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("cover"), (F.col("slots") > 0).alias("slotted")), "leaks")
+    hits = stored(hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.min("at").alias("at"), F.first("slots").alias("slots")), "window-hits")
+    cover = hits.groupBy("doc_id", "item_id", "variant").agg(F.count("*").alias("n"), F.max(F.size("slots")).alias("slots"))
+    found = stored(cover.join(near(totals), ["item_id", "variant"]).where(F.col("n") >= COVER * F.col("n_windows")).select("doc_id", "item_id", "variant", (F.col("n") / F.col("n_windows")).alias("cover"), (F.col("slots") > 0).alias("slotted")), "leaks")
     slotted = found.where("slotted")
     plain = found.where("not slotted").select("doc_id", "item_id", "cover", F.lit(1.0).alias("consistent"))
+    best = lambda df: df.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
     if slotted.isEmpty():
-        return plain
+        return best(plain)
     # Only documents with slots to compare are read again.
     again = texts.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_tokens(F.col("text")).alias("raw"))
-    slots = hits.join(slotted.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "place", "at", F.explode("slots").alias("s"))
-    filled = slots.join(again, "doc_id").select("doc_id", "item_id", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
+    slots = hits.join(slotted.select("doc_id", "item_id", "variant"), ["doc_id", "item_id", "variant"], "left_semi").select("doc_id", "item_id", "variant", "place", "at", F.explode("slots").alias("s"))
+    filled = slots.join(again, "doc_id").select("doc_id", "item_id", "variant", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
     pairs = filled.distinct()
     both = None
     for side, other in (("item_value", "doc_value"), ("doc_value", "item_value")):
-        one = pairs.groupBy("doc_id", "item_id", "kind", side).agg(F.count(other).alias("partners")).groupBy("doc_id", "item_id").agg(F.avg((F.col("partners") == 1).cast("double")).alias(f"share_{side}"))
-        both = one if both is None else both.join(one, ["doc_id", "item_id"])
-    share = both.select("doc_id", "item_id", F.least("share_item_value", "share_doc_value").alias("consistent")).where(F.col("consistent") >= CONSISTENT)
-    return plain.unionAll(slotted.join(share, ["doc_id", "item_id"]).select("doc_id", "item_id", "cover", "consistent"))
+        one = pairs.groupBy("doc_id", "item_id", "variant", "kind", side).agg(F.count(other).alias("partners")).groupBy("doc_id", "item_id", "variant").agg(F.avg((F.col("partners") == 1).cast("double")).alias(f"share_{side}"))
+        both = one if both is None else both.join(one, ["doc_id", "item_id", "variant"])
+    share = both.select("doc_id", "item_id", "variant", F.least("share_item_value", "share_doc_value").alias("consistent")).where(F.col("consistent") >= CONSISTENT)
+    return best(plain.unionAll(slotted.join(share, ["doc_id", "item_id", "variant"]).select("doc_id", "item_id", "cover", "consistent")))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

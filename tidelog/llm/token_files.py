@@ -24,10 +24,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, work_path
+from .common import slices, stored, work_path
 
 MAGIC, HEAD, ENTRY = b"TIDS", struct.Struct("<4sHHIQQ32s"), struct.Struct("<qBQII")
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
@@ -157,6 +157,14 @@ def read_blocks(data: bytes, dictionary_hash: bytes) -> Iterator[tuple[int, int,
         at = end + 5
 
 
+def _range(value: Column, bounds: list[int], low: int, high: int) -> Column:
+    """How many of the ascending bounds[low:high] lie at or below value, plus low; null counts as below all. A balanced tree of comparisons."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value >= bounds[middle], _range(value, bounds, middle + 1, high)).otherwise(_range(value, bounds, low, middle))
+
+
 def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 2) -> bytes:
     """Writes the ids of every text of docs (doc_id, text) in ascending doc_id order under path/files, the dictionary under
     path/dictionary; returns the dictionary."""
@@ -192,7 +200,10 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
         if held:
             yield block()
 
-    ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Bounds come from the ids alone: repartitionByRange would read every text once more to sample it.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(source.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    ordered = source.repartitionById(parts, _range(F.col("doc_id"), [int(b) for b in bounds], 0, len(bounds))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     blocks = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.option("lineSep", "\n").option("maxRecordsPerFile", 16).text(f"{path}/files")
     spark.createDataFrame([(dictionary_hash.hex(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -214,18 +225,6 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
     dictionary_hash = hashlib.sha256(dictionary).digest()
     files = spark.read.format("binaryFile").load(f"{path}/files").select("path", "content")
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [sum(tokens for _, tokens, _ in read_blocks(c.as_py(), dictionary_hash)) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["path", "tokens"])
-
-    starts, total = [], 0
-    place = lambda row: tuple(map(int, re.search(r"part-(\d+)-.*-c(\d+)", row[0]).groups()))
-    for file, tokens in sorted(files.mapInArrow(totals, "path string, tokens long").collect(), key=place):
-        starts.append((file, total))
-        total += tokens
-    begin = spark.sparkContext.broadcast(dict(starts))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import zstandard
@@ -233,22 +232,30 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
         unpacker = zstandard.ZstdDecompressor(dict_data=_zstd_dictionary(kept.value))
         for batch in batches:
             for i in range(batch.num_rows):
-                at, data = begin.value[batch.column(0)[i].as_py()], batch.column(1)[i].as_py()
+                file, at, data = batch.column(0)[i].as_py(), 0, batch.column(1)[i].as_py()
                 for width, _, entries in read_blocks(data, dictionary_hash):
                     out: list[tuple] = []
                     for doc_id, start, length, n in entries:
                         raw = unpacker.decompress(data[start : start + length], max_output_size=n * width)
                         full = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
-                        out.append((doc_id, at, n, zlib.crc32(full), full if ids else None))
+                        out.append((file, doc_id, at, n, zlib.crc32(full), full if ids else None))
                         at += n
-                    columns = list(zip(*out)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                    columns = list(zip(*out)) or [()] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["file", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
+
+    read = files.mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
+    read = read if ids else stored(read.drop("ids"), "token-index")  # small without the ids, so the files are read once
+    where = lambda row: tuple(map(int, re.search(r"part-(\d+)-.*-c(\d+)", row[0]).groups()))
+    begins, total = [], 0
+    for file, tokens in sorted(read.groupBy("file").agg(F.sum("n_tokens")).collect(), key=where):
+        begins.append((file, total))
+        total += tokens
+    begins = spark.createDataFrame(begins, "file string, begin long")  # a row for each file
+    return read.join(F.broadcast(begins), "file").withColumn("start", F.col("begin") + F.col("place")).select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, end_id: int = 2) -> DataFrame:
     """Writes the ids of docs into the shared folder and reads the files back."""
     path = work_path(docs.sparkSession, "tokens")
     write_token_files(docs, tokenizer_json, path, end_id)
-    return read_token_files(docs.sparkSession, path, ids=False).drop("ids")
+    return read_token_files(docs.sparkSession, path, ids=False)
