@@ -1,5 +1,6 @@
 """A data source over byte logs: <root>/<topic>/<partition>/<20-digit base>.log, batch and stream.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ByteLogSource)
     spark.read.format("tidelog").option("path", root).option("mode", "PERMISSIVE").load()
 
