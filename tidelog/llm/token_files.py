@@ -34,8 +34,8 @@ BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: The dictionary is trained on at most so many documents (those of least hash of doc_id), of each at most so many tokens.
 DICTIONARY_DOCS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
-MEMO_WORDS = 300_000
-MARK, MARKED_WORDS = "0", 200
+MEMO_WORDS = 500_000
+MARK, MARKED_WORDS = "0", 100
 
 
 class WordCoder:
@@ -50,18 +50,57 @@ class WordCoder:
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self._mark()
+        self._probe()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _mark(self) -> int | None:
         """The id of MARK, if it is one token that stands by itself between words."""
         mark, a, b, all_ = self._ids([MARK, "a", "b", f"a {MARK} b"])
         return mark[0] if len(mark) == 1 and all_ == a + mark + b else None
 
+    def _probe(self) -> None:
+        """Finds out what holds for this tokenizer: letters' case is nothing (folds), punctuation behind a letter is a word of its own (splits), and
+        words of a-z need neither normalizer nor pre-tokenizer (lean, a tokenizer without them). What doesn't hold isn't used."""
+        import random
+
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        rng = random.Random(0)
+        words = ["".join(rng.choice("etaoinshrdlucmbq") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+        tails = ["".join(rng.choice(",.;:!?") for _ in range(rng.randint(1, 3))) for _ in words]
+        plain = self._ids(words)
+        self.folds = self._ids([w.title() for w in words]) == plain == self._ids([w.upper() for w in words])
+        self.splits = self._ids([w + t for w, t in zip(words, tails)]) == [a + b for a, b in zip(plain, self._ids(tails))]
+        self.lean = Tokenizer.from_str(self.tokenizer.to_str())
+        self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        same = self.mark is not None and self._ids([" ".join(words)], self.lean) == [[i for ids in plain for i in ids]] and self._ids([MARK], self.lean) == [[self.mark]]
+        if not same:
+            self.lean = None
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """(stem, tail) whose ids together are those of the word; (word, b"") where no rule applies."""
+        stem, tail = word, b""
+        if self.splits and word[-1] in b",.;:!?":
+            cut = word.rstrip(b",.;:!?")
+            # The stem ends with a letter: a-z, or one of the Latin-1 letters from sharp s on.
+            if cut and (cut[-1:].isalpha() or (cut[-2:-1] == b"\xc3" and 0x9F <= cut[-1] <= 0xBF and cut[-1] != 0xB7)):
+                stem, tail = cut, word[len(cut) :]
+        if self.folds and stem.isalpha():
+            stem = stem.lower()
+        return stem, tail
+
     def _learn(self, words: list[bytes]) -> None:
         """Encodes new words: many at a time with a mark between, as calls cost more than words. Words that hold the mark go by themselves."""
+        if self.lean is not None:
+            lean = [w for w in words if w.isalpha() and w.islower()]
+            self._learn_with(self.lean, lean)
+            words = [w for w in words if not (w.isalpha() and w.islower())]
+        self._learn_with(self.tokenizer, words)
+
+    def _learn_with(self, tokenizer, words: list[bytes]) -> None:
         import numpy as np
 
         memo, alone = self.memo, words
@@ -70,7 +109,7 @@ class WordCoder:
             alone, joint = [w for w in words if sign in w], [w for w in words if sign not in w]
             for i in range(0, len(joint), MARKED_WORDS):
                 part = joint[i : i + MARKED_WORDS]
-                ids = np.array(self._ids([(b" %s " % sign).join(part).decode()])[0], self.kind)
+                ids = np.array(self._ids([(b" %s " % sign).join(part).decode()], tokenizer)[0], self.kind)
                 cuts = np.nonzero(ids == self.mark)[0].tolist()
                 if len(cuts) != len(part) - 1:
                     alone += part
@@ -91,14 +130,33 @@ class WordCoder:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         split = [t.encode().split() for t in texts]
-        missing = []
+        missing: dict[bytes, None] = {}
+        compound = []
+
+        def need(w: bytes) -> None:
+            if w not in memo:
+                known = older.get(w)
+                if known is None:
+                    missing[w] = None
+                else:
+                    memo[w] = known
+
         for w in set().union(*split).difference(memo):
             known = older.get(w)
-            if known is None:
-                missing.append(w)
-            else:
+            if known is not None:
                 memo[w] = known
-        self._learn(missing)
+                continue
+            stem, tail = self._parts(w)
+            if stem == w:
+                missing[w] = None
+                continue
+            need(stem)
+            if tail:
+                need(tail)
+            compound.append((w, stem, tail))
+        self._learn(list(missing))
+        for w, stem, tail in compound:
+            memo[w] = memo[stem] + memo[tail] if tail else memo[stem]
         end = np.array([end_id], self.kind).tobytes()
         return [b"".join(map(memo.__getitem__, words)) + end for words in split]
 
