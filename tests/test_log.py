@@ -251,3 +251,16 @@ def test_explicit_offsets(spark):
     rows = make(spark, [("a", "1"), ("b", "2"), ("c", "3")])
     ends = spark.createDataFrame([("t", 0, 2)], "topic string, partition int, next_offset long")
     assert [r["offset"] for r in log.apply_explicit(ends, rows).collect()] == [2]
+
+
+def test_numbers_by_ranges_equal_those_of_a_window(spark):
+    from tidelog.operators.folds import numbered
+
+    rows = spark.createDataFrame([(i % 3 if i % 5 else 0, (i * 37) % 50, i) for i in range(400)], "g int, t long, i long")
+    plain = {r["i"]: r["n"] for r in numbered(rows, ["g"], ["t", "i"], "n").collect()}
+    assert {r["i"]: r["n"] for r in numbered(rows, ["g"], ["t", "i"], "n", 7).collect()} == plain
+    source = rows.select(F.timestamp_seconds("t").alias("ts"), "i", F.when(F.col("i") % 2 == 0, F.col("g").cast("string")).alias("key"))
+    one = log.assign_offsets(log.route(source, 4, ["ts", "i"]), ["ts", "i"])
+    many = log.assign_offsets(log.route(source, 4, ["ts", "i"], ranges=5), ["ts", "i"], ranges=5)
+    assert one.select("i", "partition", "offset").exceptAll(many.select("i", "partition", "offset")).isEmpty() and many.count() == 400
+    assert numbered(rows.where("false"), ["g"], ["t", "i"], "n", 7).count() == 0

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -39,3 +40,26 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[*names, *extra])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, ranges: int | None = None) -> DataFrame:
+    """Adds name: dense numbers from 0 within keys, by order. Without ranges a group is one task's window. With ranges the values of order[0] (a time or an
+    integer) are cut at quantiles: each piece of a group is numbered by itself and starts behind the counts of the pieces before, so a group of any size spreads over
+    that many tasks. The counts are a row for each group and range. Equal values of order[0] stay together, so the numbers are the same either way."""
+    if not ranges or ranges < 2:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    kind = df.schema[order[0]].dataType.simpleString()
+    value = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0]).cast("long")
+    bounds = sorted({int(b) for b in df.select(value.alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.1 / ranges)})
+
+    def place(low: int, high: int):
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= bounds[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    cut = df.withColumn("_range", place(0, len(bounds)))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)).cast("long") - 1
+    return cut.join(F.broadcast(starts), [*keys, "_range"]).withColumn(name, rank + F.col("_start")).drop("_range", "_start")

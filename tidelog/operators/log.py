@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import core
+from .folds import numbered
 
 
-def route(records: DataFrame, partitions: int, order: list[str], start: int = 0) -> DataFrame:
+def route(records: DataFrame, partitions: int, order: list[str], start: int = 0, ranges: int | None = None) -> DataFrame:
     """Adds partition: an explicit hint, else the key's hash, else round robin over the keyless, hintless records in order (a topic's counter begins
-    at start). A hint out of range fails the job. records: key, hint (may be missing)."""
+    at start). A hint out of range fails the job. records: key, hint (may be missing). ranges: see numbered()."""
     hint = F.col("hint") if "hint" in records.columns else F.lit(None).cast("int")
     n = F.lit(partitions)
     checked = F.when((hint < 0) | (hint >= n), F.raise_error(F.lit("partition out of range")).cast("int")).otherwise(hint)
     keyless = F.col("key").isNull() & hint.isNull()
     direct = F.when(hint.isNotNull(), checked).otherwise(core.key_partition(F.col("key"), n))
     # Only the records that need the counter are ordered as one sequence.
-    turn = Window.partitionBy("_keyless").orderBy(*order)
     counted = records.withColumn("_keyless", keyless)
     keyed = counted.where(~F.col("_keyless")).withColumn("partition", direct)
-    robin = counted.where("_keyless").withColumn("partition", F.pmod(F.row_number().over(turn) - 1 + start, n).cast("int"))
+    robin = numbered(counted.where("_keyless"), ["_keyless"], order, "partition", ranges).withColumn("partition", F.pmod(F.col("partition") + start, n).cast("int"))
     return keyed.unionByName(robin).drop("_keyless")
 
 
-def assign_offsets(routed: DataFrame, order: list[str], next_offsets: DataFrame | None = None, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
-    """Adds offset: dense from the partition's next offset (0 unless next_offsets has (partition, next_offset))."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
+def assign_offsets(routed: DataFrame, order: list[str], next_offsets: DataFrame | None = None, keys: tuple[str, ...] = ("partition",), ranges: int | None = None) -> DataFrame:
+    """Adds offset: dense from the partition's next offset (0 unless next_offsets has (partition, next_offset)). ranges: see numbered(); with them a hot
+    partition is numbered by many tasks."""
+    ranked = numbered(routed, list(keys), order, "offset", ranges)
     if next_offsets is None:
-        return routed.withColumn("offset", rank)
-    joined = routed.join(next_offsets, list(keys), "left")
-    return joined.withColumn("offset", rank + F.coalesce("next_offset", F.lit(0).cast("long"))).drop("next_offset")
+        return ranked
+    joined = ranked.join(next_offsets, list(keys), "left")
+    return joined.withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0).cast("long"))).drop("next_offset")
 
 
 def apply_explicit(existing_end: DataFrame, records: DataFrame) -> DataFrame:
