@@ -7,6 +7,7 @@ from tidelog import model
 from tidelog.functions import core
 from tidelog.model import LogError
 from tidelog.operators import auth, catalog, consume, coord, groups, idempotent, log, maintain, registry, segments
+from tidelog.operators import keys as keys_
 from tidelog.sources import backup, bytelog, codec
 
 RECORDS = "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary"
@@ -247,6 +248,44 @@ def test_cold_tier_and_lines(spark, tmp_path):
     assert [(r["value"], r["sequence"]) for r in log.from_lines(spark, f"{tmp_path}/in.txt", first_sequence=4).orderBy("sequence").collect()] == [("a", 4), ("b", 5), ("c", 6)]
 
 
+def test_cold_segments_are_replaced_and_removed(spark, tmp_path):
+    keys, cold = ("topic", "partition"), f"{tmp_path}/cold"
+    rolled = segments.roll(make(spark, [(f"k{i}", f"v{i}") for i in range(50)]), 256, keys)
+    planned = maintain.retention_plan(segments.stats(rolled, keys), 10_000, 1, None, keys)
+    n = maintain.offload(rolled, planned, cold, keys)
+    assert maintain.offload(rolled, planned, cold, keys) == n and maintain.retrieve(spark, cold, "t").count() == n
+    bases = [r["segment_base"] for r in maintain.cold_bases(spark, cold, keys).collect()]
+    assert [r["offset"] for r in maintain.retrieve(spark, cold, "t", 0, bases[1]).orderBy("offset").collect()] == list(range(bases[1], bases[2]))
+    maintain.delete_cold(spark, cold, "t", 0, bases[1])
+    maintain.delete_cold(spark, cold, "t", 0, bases[1])
+    assert [r["segment_base"] for r in maintain.cold_bases(spark, cold, keys).collect()] == [b for b in bases if b != bases[1]]
+    with pytest.raises(LogError):
+        maintain.retrieve(spark, cold, "t", 0, bases[1])
+    for bad in ("..", "a/b", "", "t\n"):
+        with pytest.raises(LogError):
+            maintain.purge_cold(spark, cold, bad)
+    maintain.purge_cold(spark, cold, "t")
+    assert not (tmp_path / "cold" / "topic=t").exists()
+
+
+def test_keys(spark):
+    table = spark.createDataFrame([], model.API_KEYS)
+    table, first, secret = keys_.create(table, "one", [("write", "orders"), ("admin", "*")], 20, 100, 0)
+    table, second, other = keys_.create(table, "two", [], 10, secret="s")
+    assert secret != other == "s" and first.startswith("key_") and [r["name"] for r in keys_.listing(table).collect()] == ["two", "one"]
+    attempts = spark.createDataFrame([(secret,), ("s",), ("x",)], "secret string")
+    assert {r["key_id"] for r in auth.authenticate(attempts, table).collect()} == {first, second}
+    table = keys_.revoke(table, first)
+    assert {r["key_id"] for r in auth.authenticate(attempts, table).collect()} == {second} and table.count() == 2
+    assert {(r["key_id"], r["rate"]) for r in keys_.rates(table, "produce_bps").collect()} == {(first, 100), (second, None)} and keys_.rates(table, "consume_bps").where("rate is not null").isEmpty()
+    assert auth.grants(table).where("disabled").count() == 2
+    with pytest.raises(LogError):
+        keys_.revoke(table, "key_absent")
+    for name, acls in (("", []), ("n", [("read", "")]), ("n", [("read", "a b")]), ("n", [("drop", "a")]), ("n", [("read", "a")] * 101)):
+        with pytest.raises(LogError):
+            keys_.create(table, name, acls, 0)
+
+
 def test_explicit_offsets(spark):
     rows = make(spark, [("a", "1"), ("b", "2"), ("c", "3")])
     ends = spark.createDataFrame([("t", 0, 2)], "topic string, partition int, next_offset long")

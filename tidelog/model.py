@@ -19,6 +19,7 @@ MAX_PRODUCE_RECORDS = 100_000
 FETCH_RECORDS_DEFAULT, FETCH_BYTES_DEFAULT, FETCH_RECORDS_MAX, FETCH_BYTES_MAX = 100, 1 << 20, 10_000, 8 << 20
 MAX_GROUPS = MAX_GROUP_ENTRIES = 100_000
 MAX_MEMBERS, MAX_MEMBER_TOPICS = 1_000, 100
+MAX_KEY_GRANTS = 100
 MAX_PRODUCERS, MAX_PRODUCERS_PER_KEY, PRODUCER_IDLE_MS, PRODUCER_WINDOW = 100_000, 10_000, 7 * 86_400_000, 128
 MAX_SCHEMAS, MAX_SCHEMA_BYTES = 100_000, 512 << 10
 MEMBER_TIMEOUT_MS = 15_000

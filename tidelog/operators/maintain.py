@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions import core
+from ..model import LogError
 
 
 def retention_plan(segments: DataFrame, now_ms: int, retention_ms: int | None = None, retention_bytes: int | None = None, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
@@ -72,9 +76,10 @@ def run_policy(rolled: DataFrame, policy: str, now_ms: int, retention_ms: int |
 
 
 def offload(rolled: DataFrame, planned: DataFrame, cold_path: str, keys: tuple[str, ...] = ("partition",)) -> int:
-    """Copies victims to the cold tier, checks the count, and returns it; only then may the caller drop them."""
+    """Copies victims to the cold tier, checks the count, and returns it; only then may the caller drop them. A segment's folder is replaced whole, so a pass
+    that failed midway can run again."""
     victims = rolled.join(planned.where("victim").select(*keys, "segment_base"), [*keys, "segment_base"], "left_semi")
-    victims.write.mode("append").partitionBy(*keys, "segment_base").parquet(cold_path)
+    victims.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "segment_base").parquet(cold_path)
     spark = rolled.sparkSession
     want = victims.count()
     bases = planned.where("victim").select(*keys, "segment_base")
@@ -88,5 +93,35 @@ def cold_bases(spark, cold_path: str, keys: tuple[str, ...] = ("partition",)) ->
     return spark.read.parquet(cold_path).select(*keys, F.col("segment_base").cast("long").alias("segment_base")).distinct().orderBy(*keys, "segment_base")
 
 
-def retrieve(spark, cold_path: str) -> DataFrame:
-    return spark.read.parquet(cold_path)
+def retrieve(spark, cold_path: str, topic: str | None = None, partition: int | None = None, base: int | None = None) -> DataFrame:
+    """Cold records, of one topic, partition or segment where given; the folders of others aren't read."""
+    out = spark.read.parquet(cold_path)
+    for column, value in (("topic", topic), ("partition", partition), ("segment_base", base)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    if base is not None and out.isEmpty():
+        raise LogError(404, "no such cold segment")
+    return out
+
+
+def _remove(spark, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete_cold(spark, cold_path: str, topic: str, partition: int, base: int) -> None:
+    """Removes one segment of a cold tier laid out by (topic, partition); an absent one is no error."""
+    _check(topic)
+    _remove(spark, f"{cold_path}/topic={topic}/partition={int(partition)}/segment_base={int(base)}")
+
+
+def purge_cold(spark, cold_path: str, topic: str) -> None:
+    """Removes a topic from a cold tier laid out by (topic, partition); an absent one is no error."""
+    _check(topic)
+    _remove(spark, f"{cold_path}/topic={topic}")
+
+
+def _check(topic: str) -> None:
+    """A topic becomes part of a path, so its name is checked first."""
+    if not re.fullmatch(model.NAME_PATTERN, topic) or topic in (".", "..") or topic.endswith("\n"):
+        raise LogError(400, "bad topic name")
