@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidelog import model
 from tidelog.functions import core
 from tidelog.model import LogError
-from tidelog.operators import auth, catalog, consume, coord, groups, idempotent, log, maintain, registry, segments
+from tidelog.operators import auth, catalog, consume, coord, groups, idempotent, log, maintain, produce, registry, segments
 from tidelog.operators import keys as keys_
 from tidelog.sources import backup, bytelog, codec
 
@@ -268,6 +268,34 @@ def test_cold_segments_are_replaced_and_removed(spark, tmp_path):
     assert not (tmp_path / "cold" / "topic=t").exists()
 
 
+def test_produce_requests(spark):
+    requests = [
+        [("p", 0, "a", "v", None), ("p", 1, "a", "v", None)],
+        [("p", 0, "a", "other", None), ("p", 1, "a", "v", None)],  # a retry
+        [("p", 3, "a", "v", None)],  # a gap
+        [("p", 2, "a", "v", None), ("p", 1, "a", "v", None)],  # low behind an accepted one: refused whole
+        [(None, None, "a", "v", None), (None, None, None, "v", None), (None, None, None, "v", None)],
+        [(None, None, None, "v", None), (None, None, "a", "v", 9)],  # one bad hint refuses both and takes no turn of the counter
+        [("p", None, "a", "v", None), ("q", -1, "a", "v", None)],  # the earlier check of the two answers
+        [("p", 2, "a", "v", None)],
+        [(None, None, None, "v", 3)],
+    ]
+    rows = [(n, n * 10 + i, *r) for n, request in enumerate(requests) for i, r in enumerate(request)]
+    frame = spark.createDataFrame(rows, "request_id int, mark long, producer_id string, sequence long, key string, value string, hint int")
+    ends = spark.createDataFrame([(fnv(b"a") % 4, 100)], "partition int, next_offset long")
+    got = {r["mark"]: (r["partition"], r["offset"], r["duplicate"], r["error"]) for r in produce.produce(frame, 4, ["mark"], "mark", ends).collect()}
+    home, log_ = fnv(b"a") % 4, {}
+    for mark, at, duplicate in [(0, home, False), (1, home, False), (40, home, False), (41, 0, False), (42, 1, False), (70, home, False), (80, 3, False)]:
+        log_.setdefault(at, 100 if at == home else 0)
+        assert got[mark] == (at, log_[at], duplicate, None)
+        log_[at] += 1
+    assert got[10] == (home, 100, True, None) and got[11] == (home, 101, True, None)
+    assert {m: got[m][3] for m in (20, 30, 31, 50, 51, 60, 61)} == {20: "gap", 30: "rejected", 31: "too_low", 50: "partition_out_of_range", 51: "partition_out_of_range", 60: "sequence_required", 61: "sequence_required"}
+    assert len(got) == len(rows) and all(got[m][:3] == (None, None, None) for m in (20, 30, 31, 50, 51, 60, 61))
+    refused = produce.produce(frame, 4, ["mark"], "mark", can_write=F.col("request_id") != 4).where("error = 'forbidden'")
+    assert {r["mark"] for r in refused.collect()} == {40, 41, 42}
+
+
 def test_keys(spark):
     table = spark.createDataFrame([], model.API_KEYS)
     table, first, secret = keys_.create(table, "one", [("write", "orders"), ("admin", "*")], 20, 100, 0)

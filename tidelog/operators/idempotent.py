@@ -74,8 +74,8 @@ def classify(records: DataFrame, order: list[str], mark: str) -> DataFrame:
 def classify_requests(records: DataFrame, order: list[str], mark: str) -> DataFrame:
     """As classify(), for requests (request_id) of several records; a request's rows are gathered, so its size bounds the memory. Groups are producers, as a
     rejected request may span partitions."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "partition", "sequence", F.col(mark).alias("mark"))))
-    requests = records.groupBy("producer_id", "request_id").agg(ordered.alias("rows")).withColumn("first", F.col("rows")[0][order[0]])
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)], "partition", "sequence", F.col(mark).alias("mark"))))
+    requests = records.groupBy("producer_id", "request_id").agg(ordered.alias("rows")).withColumn("first", F.col("rows")[0]["_by0"])
 
     def start() -> dict:
         return {}
