@@ -519,3 +519,20 @@ def q45_conversations_latest(spark, sf):
     built = _table_log(spark, sf, "conversations", "conversations", "conv_id", "text", F.col("turn") * 1000, ["conv_id", "turn", "role", "text"], 2)
     latest = built.groupBy("partition", "key").agg(F.max("offset").alias("offset"), F.max_by("value", "offset").alias("value"))
     return latest.select("partition", text("key"), "offset", text("value"))
+
+
+@query(
+    f"""WITH s AS (SELECT event_id, ts, event_id // 7 AS request_id, event_id % 50 = 0 AS bad, CASE WHEN event_type <> 'view' THEN CAST(user_id AS VARCHAR) END AS key FROM events),
+    refused AS (SELECT DISTINCT request_id FROM s WHERE bad),
+    k AS (SELECT key, CAST({FNV.format(k="key")} % {PARTITIONS} AS INTEGER) AS p FROM (SELECT DISTINCT key FROM s WHERE key IS NOT NULL)),
+    taken AS (SELECT event_id, ts, CASE WHEN s.key IS NOT NULL THEN p ELSE CAST((row_number() OVER (PARTITION BY s.key IS NULL ORDER BY ts, event_id) - 1) % {PARTITIONS} AS INTEGER) END AS partition FROM s LEFT JOIN k ON s.key = k.key WHERE request_id NOT IN (SELECT request_id FROM refused))
+    SELECT event_id, partition, row_number() OVER (PARTITION BY partition ORDER BY ts, event_id) - 1 AS "offset", CAST(NULL AS VARCHAR) AS error FROM taken
+    UNION ALL SELECT event_id, NULL, NULL, 'partition_out_of_range' FROM s WHERE request_id IN (SELECT request_id FROM refused)"""
+)
+def q46_produce_requests(spark, sf):
+    """Requests of seven events; one whose hint is out of range refuses its request."""
+    from ..operators.produce import produce
+
+    source = events_source(spark, sf, "keyless").withColumn("hint", F.when(F.col("event_id") % 50 == 0, 9)).withColumn("request_id", F.expr("event_id div 7"))
+    records = source.withColumn("producer_id", F.lit(None).cast("string")).withColumn("sequence", F.lit(None).cast("long"))
+    return produce(records, PARTITIONS, ["ts", "event_id"], "event_id").select("event_id", "partition", "offset", "error")
