@@ -4,6 +4,9 @@ Texts become token sequences in which numbers, names (capitalised words within a
 lower-cased and stripped of punctuation. Windows of WINDOW tokens of each benchmark item are joined by hash to those of all documents. An item
 leaks into a document if at least COVER of its windows occur there. Where an item's windows hold slots, the fillings are compared as well: a
 re-parameterised copy replaces each value by one other throughout, so the share of values with a single partner, both ways, must reach CONSISTENT.
+A template can occur many times in a document, or within itself. All places where a window occurs count: windows of one copy share the distance
+between document and item, so fillings are compared for each distance alone, for each with what lies up to SHIFT tokens beside it (of each window the
+nearest: copies with words put in or left out), and for the first places of all windows. The best of these readings decides.
 
 Items of fewer tokens than WINDOW have one window, the whole item. Items of fewer than LEAST tokens, and windows with fewer than half of literal tokens,
 are too common to tell a leak and match nothing.
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WINDOW, LEAST, COVER, CONSISTENT = 8, 5, 0.5, 0.9
+WINDOW, LEAST, COVER, CONSISTENT, SHIFT = 8, 5, 0.5, 0.9, 8
 #: So many distinct benchmark windows (8 bytes of hash, two numbers each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -66,6 +69,31 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return found.select("item_id", "variant", "size", "place", "h", slots.alias("slots"))
 
 
+def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[int], near) -> DataFrame:
+    """Rows (doc_id, item_id, variant, at, place, slots), one for each place at of a document where an item's window occurs."""
+    # One expression over all sizes in use, so each text is tokenised once.
+    sized = lambda size: F.transform(windows(F.col("tokens"), size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
+    hashes = F.concat(*map(sized, sizes)) if sizes else F.array().cast("array<struct<size:int,at:int,h:bigint>>")
+    opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.size", "w.at", "w.h")
+    return opened.join(near(bench), ["size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "slots")
+
+
+def readings(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id, variant, reading, at, place, slots): the ways to read the hits as one copy, each with COVER of the item's windows at least."""
+    copy = ["doc_id", "item_id", "variant"]
+    hits = hits.withColumn("shift", F.col("at") - F.col("place"))
+    first = hits.groupBy(*copy, "place").agg(F.min_by(F.struct("at", "slots"), "at").alias("hit")).select(*copy, F.lit("first").alias("reading"), "place", "hit")
+    alone = hits.select(*copy, F.concat(F.lit("at "), F.col("shift")).alias("reading"), "place", F.struct("at", "slots").alias("hit"))
+    # Each shift meets those up to SHIFT beside it by way of blocks of that length.
+    anchors = hits.select(*copy, F.col("shift").alias("anchor")).distinct().withColumn("block", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(F.col("anchor") / SHIFT) + x)))
+    beside = hits.withColumn("block", F.floor(F.col("shift") / SHIFT)).join(anchors, [*copy, "block"]).withColumn("off", F.abs(F.col("shift") - F.col("anchor"))).where(F.col("off") <= SHIFT)
+    beside = beside.groupBy(*copy, "anchor", "place").agg(F.min_by(F.struct("at", "slots"), F.struct("off", "at")).alias("hit"))
+    beside = beside.select(*copy, F.concat(F.lit("near "), F.col("anchor")).alias("reading"), "place", "hit")
+    every = stored(first.unionAll(alone).unionAll(beside).select(*copy, "reading", "place", "hit.at", "hit.slots"), "readings")
+    enough = every.groupBy(*copy, "reading").agg(F.count("*").alias("n")).join(totals, ["item_id", "variant"]).where(F.col("n") >= COVER * F.col("n_windows"))
+    return every.join(enough.select(*copy, "reading"), [*copy, "reading"], "left_semi")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, cover, consistent), one for each document and item that leaks into it."""
     bench = stored(benchmark_windows(benchmark), "benchmark-windows")
@@ -75,31 +103,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = F.broadcast if small else (lambda df: df)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    # One expression over all sizes in use, so each text is tokenised once.
-    sized = lambda size: F.transform(windows(F.col("tokens"), size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
-    hashes = F.concat(*map(sized, sizes)) if sizes else F.array().cast("array<struct<size:int,at:int,h:bigint>>")
-    opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.size", "w.at", "w.h")
-    hits = opened.join(near(bench), ["size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "slots")
-    # An item's window counts once in a document; a document's rows are combined before they move.
-    hits = stored(hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.min("at").alias("at"), F.first("slots").alias("slots")), "window-hits")
-    cover = hits.groupBy("doc_id", "item_id", "variant").agg(F.count("*").alias("n"), F.max(F.size("slots")).alias("slots"))
+    hits = _hits(tokens, bench, sizes, near)
+    # An item's window counts once in a document's cover; a document's rows are combined before they move.
+    hits = hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.max(F.size("slots")).alias("slots"))
+    cover = hits.groupBy("doc_id", "item_id", "variant").agg(F.count("*").alias("n"), F.max("slots").alias("slots"))
     found = stored(cover.join(near(totals), ["item_id", "variant"]).where(F.col("n") >= COVER * F.col("n_windows")).select("doc_id", "item_id", "variant", (F.col("n") / F.col("n_windows")).alias("cover"), (F.col("slots") > 0).alias("slotted")), "leaks")
     slotted = found.where("slotted")
     plain = found.where("not slotted").select("doc_id", "item_id", "cover", F.lit(1.0).alias("consistent"))
     best = lambda df: df.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
     if slotted.isEmpty():
         return best(plain)
-    # Only documents with slots to compare are read again.
-    again = texts.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_tokens(F.col("text")).alias("raw"))
-    slots = hits.join(slotted.select("doc_id", "item_id", "variant"), ["doc_id", "item_id", "variant"], "left_semi").select("doc_id", "item_id", "variant", "place", "at", F.explode("slots").alias("s"))
-    filled = slots.join(again, "doc_id").select("doc_id", "item_id", "variant", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
-    pairs = filled.distinct()
+    # Only documents with slots to compare are read again, for all places of their windows.
+    copy = ["doc_id", "item_id", "variant"]
+    again = texts.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    again = stored(again.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw")), "texts-with-slots")
+    places = _hits(again, bench, sizes, near).join(slotted.select(*copy), copy, "left_semi").distinct()
+    slots = readings(places, totals).select(*copy, "reading", "at", "place", F.explode("slots").alias("s"))
+    filled = slots.join(again.select("doc_id", "raw"), "doc_id").select(*copy, "reading", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
+    pairs = stored(filled.distinct(), "fillings")
     both = None
     for side, other in (("item_value", "doc_value"), ("doc_value", "item_value")):
-        one = pairs.groupBy("doc_id", "item_id", "variant", "kind", side).agg(F.count(other).alias("partners")).groupBy("doc_id", "item_id", "variant").agg(F.avg((F.col("partners") == 1).cast("double")).alias(f"share_{side}"))
-        both = one if both is None else both.join(one, ["doc_id", "item_id", "variant"])
-    share = both.select("doc_id", "item_id", "variant", F.least("share_item_value", "share_doc_value").alias("consistent")).where(F.col("consistent") >= CONSISTENT)
-    return best(plain.unionAll(slotted.join(share, ["doc_id", "item_id", "variant"]).select("doc_id", "item_id", "cover", "consistent")))
+        one = pairs.groupBy(*copy, "reading", "kind", side).agg(F.count(other).alias("partners")).groupBy(*copy, "reading").agg(F.avg((F.col("partners") == 1).cast("double")).alias(f"share_{side}"))
+        both = one if both is None else both.join(one, [*copy, "reading"])
+    share = both.select(*copy, F.least("share_item_value", "share_doc_value").alias("consistent")).where(F.col("consistent") >= CONSISTENT).groupBy(*copy).agg(F.max("consistent").alias("consistent"))
+    return best(plain.unionAll(slotted.join(share, copy).select("doc_id", "item_id", "cover", "consistent")))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
