@@ -2,14 +2,16 @@
 
 Texts become token sequences in which numbers, names (capitalised words within a sentence) and units after a number are typed placeholders; all else is
 lower-cased and stripped of punctuation. Windows of WINDOW tokens of each benchmark item are joined by hash to those of all documents. An item
-leaks into a document if at least COVER of its windows occur there. Where an item's windows hold slots, the fillings are compared as well: a
+leaks into a document if at least COVER of its windows, or of those that match as templates, occur there. Where an item's windows hold slots, the fillings are compared as well: a
 re-parameterised copy replaces each value by one other throughout, so the share of values with a single partner, both ways, must reach CONSISTENT.
 A template can occur many times in a document, or within itself. All places where a window occurs count: windows of one copy share the distance
 between document and item, so fillings are compared for each distance alone, for each with what lies up to SHIFT tokens beside it (of each window the
 nearest: copies with words put in or left out), and for the first places of all windows. The best of these readings decides.
 
-Items of fewer tokens than WINDOW have one window, the whole item. Items of fewer than LEAST tokens, and windows with fewer than half of literal tokens,
-are too common to tell a leak and match nothing.
+Characters of scripts without spaces between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) are a token each.
+
+Items of fewer tokens than WINDOW have one window, the whole item. Windows with fewer than half of literal tokens are too common as templates; they match
+the same tokens as they stand only (numbers and names included), by the hash of these. Items of fewer than LEAST tokens are too common to tell a leak and match nothing.
 
 Defined results: null or empty texts have no windows. Rows without item_id or doc_id take no part. Repeated rows give one result row.
 """
@@ -29,8 +31,17 @@ NAME, NUMBER, UNIT = "\u0001n", "\u0001d", "\u0001u"
 UNITS = "km|cm|mm|nm|m|miles?|mi|feet|foot|ft|inch(?:es)?|yards?|kg|mg|g|lbs?|pounds?|ounces?|oz|tons?|ml|l|lit(?:er|re)s?|gallons?|seconds?|secs?|s|minutes?|mins?|hours?|hrs?|h|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|%|degrees?|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|ml"
 
 
+#: Their characters, digits and marks of other scripts apart.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[^\p{Nd}]]"
+
+
+def _spaced(text: Column) -> Column:
+    return F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+
+
 def template_tokens(text: Column) -> Column:
     """Tokens with placeholders. Each raw token keeps its place, see raw_tokens."""
+    text = _spaced(text)
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;:)][ \n])\p{Lu}\p{Ll}+", NAME)
     filled = F.regexp_replace(named, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", NUMBER)
     united = F.regexp_replace(filled, f"(?i)({NUMBER}[ -]?)(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", "$1" + UNIT)
@@ -40,7 +51,7 @@ def template_tokens(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """The same tokens before replacement."""
-    whole = F.regexp_replace(text, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "")
+    whole = F.regexp_replace(_spaced(text), r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "")
     percent = F.regexp_replace(whole, r"(?<=\p{Nd})([ -]?)%", "$1percent")
     return F.filter(F.split(F.lower(percent), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
@@ -51,8 +62,12 @@ def windows(tokens: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))
 
 
+def _slots_in(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.contains("\u0001")))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (item_id, variant, size, place, h, slots) of the windows that can tell a leak; a variant is one of the texts of an item_id."""
+    """Rows (item_id, variant, size, place, literal, h, slots) of the windows; a variant is one of the texts of an item_id. literal: the window matches as it stands only."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).distinct().withColumn("variant", F.xxhash64("t"))
     items = items.withColumn("tokens", template_tokens(F.col("t"))).withColumn("raw", raw_tokens(F.col("t"))).where(F.size("tokens") >= LEAST)
     sizes = [
@@ -62,52 +77,63 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     found = sizes[0]
     for more in sizes[1:]:
         found = found.unionAll(more)
-    window = F.slice("tokens", F.col("place") + 1, F.col("size"))
-    literal = F.size(F.filter(window, lambda t: ~t.contains("\u0001")))
-    found = found.where(2 * literal >= F.col("size"))
+    window = lambda tokens: F.slice(tokens, F.col("place") + 1, F.col("size"))
+    found = found.withColumn("literal", 2 * _slots_in(window("tokens")) > F.col("size")).withColumn("h", F.when(F.col("literal"), F.xxhash64(window("raw"))).otherwise(F.col("h")))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("place") + i).alias("at"), F.element_at("tokens", F.col("place") + i + 1).alias("kind"), F.element_at("raw", F.col("place") + i + 1).alias("value"))), lambda s: s["kind"].contains("\u0001"))
-    return found.select("item_id", "variant", "size", "place", "h", slots.alias("slots"))
+    # What matches as it stands has no fillings to compare.
+    slots = F.when(F.col("literal"), F.slice(slots, 1, 0)).otherwise(slots)
+    return found.select("item_id", "variant", "size", "place", "literal", "h", slots.alias("slots"))
+
+
+def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[tuple[bool, int]], near) -> DataFrame:
+    """Rows (doc_id, item_id, variant, at, place, literal, slots), one for each place at of a document (doc_id, tokens, raw) where an item's window occurs."""
 
+    def sized(literal: bool, size: int) -> Column:
+        hashes = F.transform(windows(F.col("raw" if literal else "tokens"), size), lambda h, i: F.struct(F.lit(literal).alias("literal"), F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
+        # The first token of a window can be a name by what stands before it; all others are what they are in the item.
+        return F.when(2 * (_slots_in(F.col("tokens")) + 1) > size, hashes).otherwise(F.slice(hashes, 1, 0)) if literal else hashes
 
-def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[int], near) -> DataFrame:
-    """Rows (doc_id, item_id, variant, at, place, slots), one for each place at of a document where an item's window occurs."""
     # One expression over all sizes in use, so each text is tokenised once.
-    sized = lambda size: F.transform(windows(F.col("tokens"), size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
-    hashes = F.concat(*map(sized, sizes)) if sizes else F.array().cast("array<struct<size:int,at:int,h:bigint>>")
-    opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.size", "w.at", "w.h")
-    return opened.join(near(bench), ["size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "slots")
+    hashes = F.concat(*[sized(*s) for s in sizes]) if sizes else F.array().cast("array<struct<literal:boolean,size:int,at:int,h:bigint>>")
+    opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.literal", "w.size", "w.at", "w.h")
+    return opened.join(near(bench), ["literal", "size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "literal", "slots")
+
+
+def _cover(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, slots, cover) with COVER at least: the share of an item's windows, or of its templates alone if that is more; slots is the most in a window."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col("literal")).alias("t"), F.max("slots").alias("slots"))
+    return n.join(totals, ["item_id", "variant"]).withColumn("cover", F.greatest(F.col("n") / F.col("n_windows"), F.try_divide("t", "n_templates"))).where(F.col("cover") >= COVER).select(*keys, "slots", "cover")
 
 
 def readings(hits: DataFrame, totals: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, variant, reading, at, place, slots): the ways to read the hits as one copy, each with COVER of the item's windows at least."""
     copy = ["doc_id", "item_id", "variant"]
     hits = hits.withColumn("shift", F.col("at") - F.col("place"))
-    first = hits.groupBy(*copy, "place").agg(F.min_by(F.struct("at", "slots"), "at").alias("hit")).select(*copy, F.lit("first").alias("reading"), "place", "hit")
-    alone = hits.select(*copy, F.concat(F.lit("at "), F.col("shift")).alias("reading"), "place", F.struct("at", "slots").alias("hit"))
+    first = hits.groupBy(*copy, "place").agg(F.min_by(F.struct("at", "literal", "slots"), "at").alias("hit")).select(*copy, F.lit("first").alias("reading"), "place", "hit")
+    alone = hits.select(*copy, F.concat(F.lit("at "), F.col("shift")).alias("reading"), "place", F.struct("at", "literal", "slots").alias("hit"))
     # Each shift meets those up to SHIFT beside it by way of blocks of that length.
     anchors = hits.select(*copy, F.col("shift").alias("anchor")).distinct().withColumn("block", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(F.col("anchor") / SHIFT) + x)))
     beside = hits.withColumn("block", F.floor(F.col("shift") / SHIFT)).join(anchors, [*copy, "block"]).withColumn("off", F.abs(F.col("shift") - F.col("anchor"))).where(F.col("off") <= SHIFT)
-    beside = beside.groupBy(*copy, "anchor", "place").agg(F.min_by(F.struct("at", "slots"), F.struct("off", "at")).alias("hit"))
+    beside = beside.groupBy(*copy, "anchor", "place").agg(F.min_by(F.struct("at", "literal", "slots"), F.struct("off", "at")).alias("hit"))
     beside = beside.select(*copy, F.concat(F.lit("near "), F.col("anchor")).alias("reading"), "place", "hit")
-    every = stored(first.unionAll(alone).unionAll(beside).select(*copy, "reading", "place", "hit.at", "hit.slots"), "readings")
-    enough = every.groupBy(*copy, "reading").agg(F.count("*").alias("n")).join(totals, ["item_id", "variant"]).where(F.col("n") >= COVER * F.col("n_windows"))
+    every = stored(first.unionAll(alone).unionAll(beside).select(*copy, "reading", "place", "hit.at", "hit.literal", "hit.slots"), "readings")
+    enough = _cover(every.withColumn("slots", F.size("slots")), totals, [*copy, "reading"])
     return every.join(enough.select(*copy, "reading"), [*copy, "reading"], "left_semi")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, cover, consistent), one for each document and item that leaks into it."""
     bench = stored(benchmark_windows(benchmark), "benchmark-windows")
-    totals = bench.groupBy("item_id", "variant").agg(F.count("*").alias("n_windows"))
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    totals = bench.groupBy("item_id", "variant").agg(F.count("*").alias("n_windows"), F.count_if(~F.col("literal")).alias("n_templates"))
+    sizes = sorted((r[0], r[1]) for r in bench.select("literal", "size").distinct().collect())
     small = bench.count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda df: df)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("tokens"))
+    tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
     hits = _hits(tokens, bench, sizes, near)
     # An item's window counts once in a document's cover; a document's rows are combined before they move.
-    hits = hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.max(F.size("slots")).alias("slots"))
-    cover = hits.groupBy("doc_id", "item_id", "variant").agg(F.count("*").alias("n"), F.max("slots").alias("slots"))
-    found = stored(cover.join(near(totals), ["item_id", "variant"]).where(F.col("n") >= COVER * F.col("n_windows")).select("doc_id", "item_id", "variant", (F.col("n") / F.col("n_windows")).alias("cover"), (F.col("slots") > 0).alias("slotted")), "leaks")
+    hits = hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.first("literal").alias("literal"), F.max(F.size("slots")).alias("slots"))
+    found = stored(_cover(hits, near(totals), ["doc_id", "item_id", "variant"]).withColumn("slotted", F.col("slots") > 0), "leaks")
     slotted = found.where("slotted")
     plain = found.where("not slotted").select("doc_id", "item_id", "cover", F.lit(1.0).alias("consistent"))
     best = lambda df: df.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
@@ -118,12 +144,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = texts.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     again = stored(again.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw")), "texts-with-slots")
     places = _hits(again, bench, sizes, near).join(slotted.select(*copy), copy, "left_semi").distinct()
-    slots = readings(places, totals).select(*copy, "reading", "at", "place", F.explode("slots").alias("s"))
+    slots = readings(places, totals).select(*copy, "reading", "at", "place", F.explode_outer("slots").alias("s"))
     filled = slots.join(again.select("doc_id", "raw"), "doc_id").select(*copy, "reading", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
     pairs = stored(filled.distinct(), "fillings")
+    # A reading without slots stands as it is.
+    share = F.coalesce(F.avg(F.when(F.col("kind").isNotNull(), (F.col("partners") == 1).cast("double"))), F.lit(1.0))
     both = None
     for side, other in (("item_value", "doc_value"), ("doc_value", "item_value")):
-        one = pairs.groupBy(*copy, "reading", "kind", side).agg(F.count(other).alias("partners")).groupBy(*copy, "reading").agg(F.avg((F.col("partners") == 1).cast("double")).alias(f"share_{side}"))
+        one = pairs.groupBy(*copy, "reading", "kind", side).agg(F.count(other).alias("partners")).groupBy(*copy, "reading").agg(share.alias(f"share_{side}"))
         both = one if both is None else both.join(one, [*copy, "reading"])
     share = both.select(*copy, F.least("share_item_value", "share_doc_value").alias("consistent")).where(F.col("consistent") >= CONSISTENT).groupBy(*copy).agg(F.max("consistent").alias("consistent"))
     return best(plain.unionAll(slotted.join(share, copy).select("doc_id", "item_id", "cover", "consistent")))
