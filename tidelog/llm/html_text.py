@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-PATH_SLOTS, WORD_SLOTS, VECTOR, HIDDEN, MAX_WORDS = 2048, 512, 16, 16, 12
+PATH_SLOTS, WORD_SLOTS, VECTOR, HIDDEN = 2048, 512, 16, 16
 TRAIN_PAGES, EPOCHS, SEED = 900, 7, 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
@@ -137,7 +137,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str]]:
 
 
 def _words(text: str) -> list[int]:
-    words = dict.fromkeys(text[:200].lower().split()[:MAX_WORDS])
+    words = dict.fromkeys(text.lower().split())
     return [_slot(w, WORD_SLOTS) for w in words] + [_slot(f"#{min(9, len(text).bit_length())}", WORD_SLOTS)]
 
 
@@ -308,9 +308,9 @@ class Labeller:
             owner = np.repeat(np.arange(len(counts)), counts)
             sums = np.zeros((len(counts), VECTOR))
             if slots:
-                ends = np.cumsum(counts)
-                running = np.vstack([np.zeros(VECTOR), np.cumsum(self.w[name][slots], 0)])
-                sums = running[ends] - running[ends - counts]
+                # One column at a time: a block's words may be many.
+                for k in range(VECTOR):
+                    sums[:, k] = np.bincount(owner, self.w[name][slots, k], len(counts))
             sums /= np.sqrt(np.maximum(counts, 1))[:, None]
             page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
             step = np.concatenate([np.arange(len(p)) for p in pages])
