@@ -227,39 +227,44 @@ def test_ppm(docs, none):
     assert ppm.score(none).count() == 0
 
 
-def test_ppm_trie_equals_the_plain_recursion():
-    from collections import Counter
-
+def test_ppm_grams_and_price_table():
     from tidelog.llm import ppm
 
-    rng = random.Random(4)
-    words = list({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 8))).encode() for _ in range(300)}) + [ppm.END]
-    counts = [rng.randint(1, 9) for _ in words]
-    trie = ppm.Trie(*ppm.grams(words[:200], np.array(counts[:200])))
-    nodes = {}
-    for w, c in zip(words[:200], counts):
-        s = b" " + w + (b"" if w == ppm.END else b" ")
-        for i in range(1, len(s)):
-            for k in range(min(5, i) + 1):
-                nodes.setdefault((k, s[i - k : i]), Counter())[s[i]] += c
-    for w in [*words, b"\xff", b"zz"]:
-        s, want = b" " + w + (b"" if w == ppm.END else b" "), 0.0
-        for i in range(1, len(s)):
-            ruled = set()
-            for k in range(min(5, i), -1, -1):
-                left = {x: c for x, c in nodes.get((k, s[i - k : i]), {}).items() if x not in ruled}
-                total, fresh = sum(left.values()), len(left)
-                if s[i] in left:
-                    want += math.log10(left[s[i]] / (total + fresh))
-                    break
-                want += math.log10(fresh / (total + fresh)) if fresh else 0
-                ruled |= left.keys()
-            else:
-                want -= math.log10(256 - len(ruled))
-        assert trie.log10([w])[0] == pytest.approx(want)
+    texts = [b"ab c\n", b"\n", b"\xc3\xa9 long word here\n"]
+    got = ppm.grams(texts)
+    want = [int.from_bytes((b"\n" * 6 + t)[i : i + 7], "big") for t in texts for i in range(len(t))]
+    assert got.tolist() == want and len(ppm.grams([])) == 0
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000))
+    table = ppm.PriceTable(keys[::2], np.arange(len(keys[::2]), dtype=float))
+    found = table.find(keys)
+    assert found[::2].tolist() == list(range(len(keys[::2]))) and np.isnan(found[1::2]).all()
+    assert np.isnan(ppm.PriceTable(keys[:0], np.zeros(0)).find(keys[:9])).all()
     assert ppm.adaptive_bits("abcabcabc" * 20) < 8 * 180 / 3 and ppm.adaptive_bits(None) == 0
 
 
+def test_ppm_reads_word_order_and_nothing_but_the_text(spark):
+    """Contexts run across words; hot tables are a shortcut only; a table without training documents has the price of a byte throughout."""
+    from tidelog.llm import ppm
+
+    train = [i for i in range(100) if not ppm.is_held_out(i)][:30]
+    held = [i for i in range(100) if ppm.is_held_out(i)][:2]
+    rows = [(i, "the cat sat on a mat and slept all day") for i in train] + [(held[0], "the cat sat on a mat"), (held[1], "mat a on sat cat the")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in ppm.score(table).collect()}
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 3 and got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    before = ppm.HOT_GRAMS, ppm.HOT_WORDS
+    try:
+        ppm.HOT_GRAMS, ppm.HOT_WORDS = 5, 0
+        cold = {r["doc_id"]: r.asDict() for r in ppm.score(table).collect()}
+    finally:
+        ppm.HOT_GRAMS, ppm.HOT_WORDS = before
+    for i, r in got.items():
+        assert cold[i] == {k: pytest.approx(v) for k, v in r.items()}
+    alone = ppm.score(table.where(f"doc_id = {held[0]}")).first()
+    assert alone["train_tokens"] == 0 and alone["score"] == pytest.approx(-math.log10(256) * len("the cat sat on a mat\n"))
+
+
 def test_decontamination(spark, docs, none):
     from tidelog.llm import decontamination as d
 

@@ -1,130 +1,57 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-A text is its lower-cased (A-Z) words, each followed by a space, and an end mark. The model is a trie of byte contexts of up to ORDER bytes
-within a word (contexts start at the space before it). A byte is predicted in the longest context seen; if it isn't among the context's
-symbols, the model escapes to the next shorter one with the estimate symbols / (occurrences + symbols) (method C) and leaves out all symbols already ruled out.
-Below order 0 the remaining byte values are equally likely. The code length of a text is the sum over its bytes.
-
-Pretrained mode: counts of all words of the training documents are gathered as a table; a trie for each of the CLASSES most frequent values of lang, and
-one for all other rows, is summed from it, and each distinct word gets its code lengths once. The score of a text is that of the mixture of
-the tries, weighted by their training documents; lang itself is no input of it. The tries are broadcast: their order is the highest, up to ORDER, at which
-they have TRIE_ENTRIES entries at most (order 1 has 65,536 at most a class).
-The HOT_WORDS most frequent words are broadcast, all other words of a document are joined to the table. adaptive_bits() gives the adaptive mode for one text.
-
-Defined results: a null or empty text is the end mark alone. Rows without doc_id are held out. Repeated rows give repeated results.
+A text is its words (A-Z lower-cased) with single spaces between and an end mark; ORDER end marks stand before it, so that every byte has a context of
+ORDER bytes. Contexts run across words over the whole document. The model is a trie of the byte contexts of all training documents. A byte is predicted in the longest
+context seen; if it isn't among the context's symbols, the model escapes to the next shorter one with the estimate symbols / (occurrences + symbols)
+(method C) and leaves out all symbols already ruled out. Below order 0 the remaining byte values are equally likely. The code length of a text is the sum over its bytes.
+
+The trie is a table for each order: rows (gram, n), a gram being a context and its symbol. A byte's price depends on its gram of ORDER + 1 bytes alone, so each distinct
+gram of the corpus is priced once, by joins down the orders, and a document sums the prices of its bytes. All tables lie in the shared folder
+and are joined by key; they grow with the corpus, and nothing is cut at any size. The most frequent grams and words (HOT_GRAMS and HOT_WORDS at most)
+are broadcast as a shortcut, all others are joined to the tables, with equal results.
+
+Defined results: a null or empty text is the end mark alone. Rows without doc_id are held out. Repeated rows give repeated results; further
+columns, of whatever name, have no part. Without training documents every byte costs log10(256). adaptive_bits() gives the adaptive mode for one text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, slices, stored
 
-ORDER, TRIE_ENTRIES, HOT_WORDS, FLUSH_WORDS, CLASSES = 5, 3_000_000, 200_000, 250_000, 6
+#: A gram of ORDER + 1 bytes is a positive long.
+ORDER = 6
+HOT_GRAMS, HOT_WORDS = 2_000_000, 200_000
+FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 250_000, 1_500_000, 6_000_000
 FOLDS, HELD_OUT = 7, 2
-SPACE, END = b" ", b"\n"  # END can't be a word
+END = b"\n"  # can't be a word
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all words with the spaces around, offset of each within its word, word of each)."""
-    spelled = [SPACE + w if w == END else SPACE + w + SPACE for w in words]
+def grams(spelled: list[bytes], order: int = ORDER) -> np.ndarray:
+    """The grams of all bytes of the texts (each with its end mark), one text behind the other."""
+    data = b"".join(END * order + s for s in spelled) + bytes(7)
     sizes = np.array([len(s) for s in spelled], np.int64)
-    data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    return data, np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner
-
-
-def _contexts(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Keys order << 40 | context bytes of the contexts before the places at."""
-    key = np.full(len(at), order, np.int64)
-    for _ in range(5 - order):
-        key = key << 8
-    for k in range(order, 0, -1):
-        key = (key << 8) | data[at - k]
-    return key
-
-
-def grams(words: list[bytes], counts: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(keys context << 8 | symbol, sums of the words' counts)."""
-    data, offset, owner = _spelled(words)
-    keys, weights = [], []
-    for k in range(order + 1):
-        at = np.nonzero(offset >= max(1, k))[0]
-        keys.append((_contexts(data, at, k) << 8) | data[at])
-        weights.append(counts[owner[at]])
-    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate(weights).astype(float), len(keys)).astype(np.int64)
-
-
-class Trie:
-    """Sorted arrays: entries (context << 8 | symbol) with counts, and of each context the occurrences, the symbols, and the occurrences
-    that its symbols have in the next shorter context."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(float)
-        self.nodes, start = np.unique(self.keys >> 8, return_index=True)
-        self.order = int(self.nodes[-1] >> 40) if len(self.nodes) else 0
-        level, symbol, context = self.keys >> 48, self.keys & 255, (self.keys >> 8) & ((1 << 40) - 1)
-        shorter = np.maximum(level - 1, 0)
-        lower = (((shorter << 40) | (context & ((1 << (8 * shorter)) - 1))) << 8) | symbol
-        place = np.searchsorted(self.keys, lower)
-        below = np.where(level > 0, self.counts[np.minimum(place, len(self.keys) - 1)] if len(self.keys) else 0.0, 0.0)
-        add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0)
-        self.total, self.symbols, self.below = add(self.counts), add(np.ones(len(self.keys))), add(below)
-
-    @staticmethod
-    def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Indexes, -1 where missing."""
-        if not len(keys):
-            return np.full(len(want), -1)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, at, -1)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word."""
-        if not words:
-            return np.zeros(0)
-        data, offset, owner = _spelled(words)
-        at = np.nonzero(offset >= 1)[0]
-        logs, child = np.zeros(len(at)), np.full(len(at), -1)
-        open_ = np.arange(len(at))
-        for k in range(self.order, -1, -1):
-            part = open_[offset[at[open_]] >= k]
-            context = _contexts(data, at[part], k)
-            node = self._find(self.nodes, context)
-            seen = node >= 0
-            part, context, node = part[seen], context[seen], node[seen]
-            above = child[part]
-            total = self.total[node] - np.where(above >= 0, self.below[above], 0)
-            fresh = self.symbols[node] - np.where(above >= 0, self.symbols[above], 0)
-            entry = self._find(self.keys, (context << 8) | data[at[part]])
-            hit = entry >= 0
-            logs[part[hit]] += np.log10(self.counts[entry[hit]]) - np.log10(total[hit] + fresh[hit])
-            miss = ~hit & (fresh > 0)
-            logs[part[miss]] += np.log10(fresh[miss]) - np.log10(total[miss] + fresh[miss])
-            child[part[~hit]] = node[~hit]
-            done = np.zeros(len(at), bool)
-            done[part[hit]] = True
-            open_ = open_[~done[open_]]
-        ruled_out = self.symbols[child[open_]] if len(self.nodes) else 0.0
-        logs[open_] -= np.log10(256 - np.where(child[open_] >= 0, ruled_out, 0))
-        return np.bincount(owner[at], logs, len(words))
+    starts = np.cumsum(sizes) - sizes
+    windows = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    own = np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)) * order, sizes)
+    return (windows[own].astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
 def adaptive_bits(text: str | None, order: int = 3) -> float:
-    """The adaptive code length in bits of one text by bytes: each byte is coded, then learned. Contexts run across words here."""
+    """The adaptive code length in bits of one text by bytes: each byte is coded, then learned."""
     data = (text or "").encode()
     counts: dict[bytes, Counter] = {}
     bits = 0.0
@@ -153,160 +80,261 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def count_words(docs: DataFrame, classes: list[str]) -> DataFrame:
-    """Rows (word, cls, c) of all documents' words by class (the place of lang in classes, or after them), c counting in training documents only."""
-    place = {name: i for i, name in enumerate(classes)}
+def count(docs: DataFrame) -> DataFrame:
+    """Rows (word, gram, n), one of word and gram being null, of all words and grams of docs (doc_id, text); n counts in training documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {}
-        others: set[bytes] = set()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            new = others.difference(*counts.values())
-            for cls, found in [*counts.items(), (len(classes), dict.fromkeys(new, 0))]:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([cls] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "cls", "c"])
-            counts.clear()
+        words, others = Counter(), set()
+        waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = 0
+
+        def learn() -> None:
+            nonlocal held, sums, size
+            for training, spelled in waiting.items():
+                if spelled:
+                    keys, n = np.unique(grams(spelled), return_counts=True)
+                    keys = np.concatenate([held, keys])
+                    n = np.concatenate([sums, n if training else np.zeros(len(n), np.int64)])
+                    order = np.argsort(keys, kind="stable")
+                    keys, n = keys[order], n[order]
+                    first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+                    held, sums = keys[first], np.add.reduceat(n, first)
+                    spelled.clear()
+            size = 0
+
+        def batch_of(w: list[bytes], g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            none = len(w) or len(g)
+            columns = [pa.array(w, pa.binary()), pa.nulls(none, pa.int64())] if w else [pa.nulls(none, pa.binary()), pa.array(g)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["word", "gram", "n"])
+
+        def out_words() -> Iterator[pa.RecordBatch]:
+            found = list(words.items()) + [(w, 0) for w in others.difference(words)]
+            for s in range(0, len(found), 100_000):
+                part = found[s : s + 100_000]
+                yield batch_of([w for w, _ in part], held[:0], np.array([c for _, c in part]))
+            words.clear()
             others.clear()
 
-        for batch in batches:
-            for part in slices(batch, 1):
-                for doc_id, text, lang in zip(*(c.to_pylist() for c in part.columns)):
-                    words = [*words_of(text), END]
-                    if is_held_out(doc_id):
-                        others.update(words)
-                    else:
-                        counts.setdefault(place.get(lang, len(classes)), Counter()).update(words)
-                if sum(map(len, counts.values())) + len(others) > FLUSH_WORDS:
-                    yield from out()
-        yield from out()
-
-    return docs.mapInArrow(run, "word binary, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
-
-
-def _learn_tries(counted: DataFrame, classes: int) -> list[Trie]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for cls, (keys, sums) in held.items():
-                for s in range(0, len(keys), 100_000):
-                    k = keys[s : s + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), cls, np.int32)), pa.array(k), pa.array(sums[s : s + 100_000])], names=["cls", "gram", "n"])
-            held.clear()
+        def out_grams() -> Iterator[pa.RecordBatch]:
+            nonlocal held, sums
+            for s in range(0, len(held), 100_000):
+                yield batch_of([], held[s : s + 100_000], sums[s : s + 100_000])
+            held, sums = held[:0], sums[:0]
 
         for batch in batches:
-            for part in slices(batch, 0, max_rows=50_000):
-                words, cls, c = np.array(part.column(0).to_pylist(), object), part.column(1).to_numpy(), part.column(2).to_numpy()
-                for x in np.unique(cls).tolist():
-                    k, n = grams(words[cls == x].tolist(), c[cls == x])
-                    keys, sums = held.get(x, (empty, empty))
-                    keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                    held[x] = keys, np.bincount(where, np.concatenate([sums, n]).astype(float), len(keys)).astype(np.int64)
-                if sum(len(k) for k, _ in held.values()) > 1_000_000:
-                    yield from out()
-        yield from out()
-
-    table = stored(counted.where("c > 0").mapInArrow(run, "cls int, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n")), "grams")
-    by_order = dict(tuple(r) for r in table.groupBy(F.shiftright("gram", 48).alias("k")).agg(F.count("*").alias("n")).collect())
-    entries, order = 0, 0
-    for k in sorted(by_order):
-        entries += by_order[k]
-        if k > 1 and entries > TRIE_ENTRIES:
+            for part in slices(batch, 1):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = words_of(text)
+                    spelled = b" ".join(found) + END
+                    training = not is_held_out(doc_id)
+                    found.append(END)
+                    (words if training else others).update(found)
+                    waiting[training].append(spelled)
+                    size += len(spelled)
+                if size > FLUSH_BYTES:
+                    learn()
+                if len(words) + len(others) > FLUSH_WORDS:
+                    yield from out_words()
+                if len(held) > FLUSH_GRAMS:
+                    yield from out_grams()
+        learn()
+        yield from out_words()
+        yield from out_grams()
+
+    return docs.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+
+
+def _tail(gram: Column, k: int) -> Column:
+    """A gram's context of k bytes and symbol."""
+    return gram.bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+
+
+def _small(df: DataFrame, bytes_in_key: int) -> DataFrame:
+    """Tables whose key has two bytes at most have 65,536 rows at most and are broadcast."""
+    return F.broadcast(df) if bytes_in_key <= 2 else df
+
+
+def trie(learned: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """The tables (gram, n) of orders 0 to order, from that of the highest."""
+    tables = [stored(learned, "trie")]
+    for k in range(order - 1, -1, -1):
+        tables.insert(0, stored(tables[0].groupBy(_tail(F.col("gram"), k).alias("gram")).agg(F.sum("n").alias("n")), "trie"))
+    return tables
+
+
+def contexts(tables: list[DataFrame], k: int) -> DataFrame:
+    """Rows (ctx, total, symbols, below) of the contexts of k bytes; below: the occurrences that the symbols have in the next shorter context."""
+    found = tables[k].withColumn("low", F.lit(0).cast("long"))
+    if k:
+        lower = tables[k - 1].select(F.col("gram").alias("tail"), F.col("n").alias("lower"))
+        found = tables[k].withColumn("tail", _tail(F.col("gram"), k - 1)).join(_small(lower, k), "tail").withColumn("low", F.col("lower"))
+    return found.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("symbols"), F.sum("low").alias("below"))
+
+
+def prices(tables: list[DataFrame], fresh: DataFrame) -> DataFrame:
+    """Rows (gram, n, price): the log10 probability of the symbol of each gram, of those in the highest table and of those of fresh (gram), which aren't there."""
+    top = len(tables) - 1
+    ctx = contexts(tables, top)
+    seen = tables[top].withColumn("ctx", F.shiftright("gram", 8)).join(ctx, "ctx").select("gram", "n", (F.log10("n") - F.log10(F.col("total") + F.col("symbols"))).alias("price"))
+    zero = F.lit(0).cast("long")
+    state = fresh.select("gram", F.lit(0.0).alias("price"), zero.alias("out_symbols"), zero.alias("out_total"), F.lit(False).alias("done"))
+    for k in range(top, -1, -1):
+        ctx = contexts(tables, k) if k < top else ctx
+        state = state.withColumn("tail", _tail(F.col("gram"), k)).withColumn("ctx", F.shiftright("tail", 8)).join(_small(ctx, k), "ctx", "left")
+        hits = tables[k].select(F.col("gram").alias("tail"), "n")
+        state = state.join(_small(hits, k + 1), "tail", "left") if k < top else state.withColumn("n", F.lit(None).cast("long"))
+        # What the longer context held is ruled out here.
+        state = state.withColumn("left_total", F.col("total") - F.col("out_total")).withColumn("left_symbols", F.col("symbols") - F.col("out_symbols"))
+        whole = F.log10(F.col("left_total") + F.col("left_symbols"))
+        known, hit = F.col("total").isNotNull() & ~F.col("done"), F.col("n").isNotNull()
+        step = F.when(known & hit, F.log10("n") - whole).when(known & (F.col("left_symbols") > 0), F.log10("left_symbols") - whole).otherwise(0.0)
+        state = state.select(
+            "gram",
+            (F.col("price") + step).alias("price"),
+            F.when(known, F.col("symbols")).otherwise(F.col("out_symbols")).alias("out_symbols"),
+            F.when(known, F.col("below")).otherwise(F.col("out_total")).alias("out_total"),
+            (F.col("done") | (known & hit)).alias("done"),
+        )
+    price = F.col("price") - F.when(F.col("done"), 0.0).otherwise(F.log10(F.lit(256) - F.col("out_symbols")))
+    return seen.unionAll(state.select("gram", F.lit(0).cast("long").alias("n"), price.alias("price")))
+
+
+def _hot_from(table: DataFrame, most: int) -> int:
+    """The least n such that at most that many rows have it or more, by a histogram of 16 steps to a doubling."""
+    steps = table.groupBy(F.floor(16 * F.log2(F.greatest("n", F.lit(1)))).alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
+    rows, least = 0, (1 << 62)
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        rows += r["rows"]
+        if rows > most:
             break
-        order = k
-    got = table.where(F.shiftright("gram", 48) <= order).toArrow()
-    discard(table)
-    cls, gram, n = (got.column(c).to_numpy() for c in ("cls", "gram", "n"))
-    return [Trie(gram[cls == x], n[cls == x]) for x in range(classes)]
+        least = r["least"]
+    return least
+
+
+class PriceTable:
+    """Open addressing over arrays: prices of grams."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            slot, left = (slot[~placed] + 1) & ((1 << self.bits) - 1), left[~placed]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, NaN for keys that aren't there."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        out = self.values[slot]
+        left = np.nonzero(there != keys)[0]
+        while len(left):
+            empty = there[left] < 0
+            out[left[empty]] = np.nan
+            left = left[~empty]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there[left] = self.keys[slot[left]]
+            out[left] = self.values[slot[left]]
+            left = left[there[left] != keys[left]]
+        return out
+
+
+def _gram_key(gram: Column) -> Column:
+    return F.concat(F.lit(b"g"), F.unhex(F.lpad(F.hex(gram), 2 * (ORDER + 1), "0")))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs."""
     spark = docs.sparkSession
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
-    by_class = {r[0]: r[1] for r in docs.where(~fold).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()}
-    learned = docs.where(~fold).count()
-    classes = [name for name in by_class if name is not None]
-    sizes = [*[by_class[name] for name in classes], learned - sum(by_class[name] for name in classes)]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = stored(count_words(docs, classes), "words")
-    # A class without training documents has no part in the mixture, unless there is none at all.
-    used = [x for x, n in enumerate(sizes) if n > 0] or [len(classes)]
-    tries = _learn_tries(counted, len(sizes))
-    tries = spark.sparkContext.broadcast([tries[x] for x in used])
-    prices = [f"p{i}" for i in range(len(used))]
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0, max_rows=50_000):
-                words = part.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(t.log10(words)) for t in tries.value]], names=["word", "c", *prices])
-
-    by_word = counted.groupBy("word").agg(F.sum("c").alias("c"))
-    vocabulary = stored(by_word.mapInArrow(price, "word binary, c long" + "".join(f", {p} double" for p in prices)), "vocabulary")
-    discard(counted)
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    hot = vocabulary.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
-    hot = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy(), np.stack([hot.column(p).to_numpy() for p in prices])))
-    index: dict[bytes, int] = {}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = stored(count(docs), "counts")
+    vocabulary = counted.where("word is not null").select("word", "n")
+    total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    found = counted.where("gram is not null").select("gram", "n")
+    tables = trie(found.where("n > 0"))
+    priced = stored(prices(tables, found.where("n = 0").select("gram")), "prices")
+    word_from, gram_from = _hot_from(vocabulary, HOT_WORDS), _hot_from(priced, HOT_GRAMS)
+    hot_words = vocabulary.where(F.col("n") >= word_from).toArrow()
+    hot_grams = priced.where(F.col("n") >= gram_from).select("gram", "price").toArrow()
+    hot = spark.sparkContext.broadcast((hot_words.column("word").to_pylist(), hot_words.column("n").to_numpy(), hot_grams.column("gram").to_numpy(), hot_grams.column("price").to_numpy()))
+    cold = vocabulary.where(F.col("n") < word_from).select(F.concat(F.lit(b"w"), F.col("word")).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("price"))
+    cold = cold.unionAll(priced.where(F.col("n") < gram_from).select(_gram_key(F.col("gram")).alias("key"), F.lit(None).cast("long").alias("c"), "price"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, logs = hot.value
-        if not index:
-            index.update((w, i) for i, w in enumerate(words))
-        values = np.stack([np.ones(len(words)), c > 0, np.log10(c + 1.0), *logs])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * len(prices)]
+        words, counts, keys, values = hot.value
+        index, table = {w: i for i, w in enumerate(words)}, PriceTable(keys, values)
+        columns = np.stack([counts > 0, np.log10(counts + 1.0)])
         for batch in batches:
             for part in slices(batch, 1):
-                ids, marks, whole, keys, tfs, sums, sizes = [], [], [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    mark = zlib.crc32((text or "").encode())
-                    tokens = [*words_of(text), END]
-                    known = np.fromiter((i for w in tokens if (i := index.get(w)) is not None), np.int64)
+                ids, texts = part.column(0), part.column(1).to_pylist()
+                marks, spelled, sums, sizes, cold_words, tfs, owners = [], [], [], [], [], [], []
+                for i, text in enumerate(texts):
+                    tokens = words_of(text)
+                    spelled.append(b" ".join(tokens) + END)
+                    tokens.append(END)
+                    marks.append(zlib.crc32((text or "").encode()))
+                    known = np.fromiter((j for w in tokens if (j := index.get(w)) is not None), np.int64)
                     rest = Counter(w for w in tokens if w not in index)
-                    # The row for the document itself has a key that no word has, and a place of its own in the join.
-                    keys.append(b" %d %d" % (doc_id or 0, mark))
-                    keys += rest
-                    tfs.append(0)
+                    cold_words += rest
                     tfs += rest.values()
-                    m = 1 + len(rest)
-                    ids += [doc_id] * m
-                    marks += [mark] * m
-                    sizes.append(m)
-                    sums.append(values[:, known].sum(1))
-                first = np.cumsum([0, *sizes[:-1]])
-                table = np.zeros((len(values), len(keys)))
-                table[:, first] = np.stack(sums, 1)
-                whole = np.zeros(len(keys), np.int64)
-                whole[first] = 1
-                columns = [ids, marks, whole, keys, tfs, table[0].astype(np.int64), table[1].astype(np.int64), *table[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "mark", "whole", "word", "tf", "n", "known", "base", *[f"s{p}" for p in prices]])
-
-    rows = docs.select("doc_id", "text").mapInArrow(split, "doc_id long, mark long, whole long, word binary, tf long, n long, known long, base double" + "".join(f", s{p} double" for p in prices))
-    joined = rows.join(vocabulary, "word", "left")
-    tf = F.col("tf")
+                    owners += [i] * len(rest)
+                    sums.append(columns[:, known].sum(1))
+                    sizes.append(len(tokens))
+                all_grams = grams(spelled)
+                length = np.array([len(s) for s in spelled])
+                price = table.find(all_grams)
+                missing = np.nonzero(np.isnan(price))[0]
+                price[missing] = 0.0
+                document = np.repeat(np.arange(len(texts)), length)[missing]
+                order = np.lexsort((all_grams[missing], document))
+                document, lone = document[order], all_grams[missing][order]
+                first = np.nonzero(np.append(True, (lone[1:] != lone[:-1]) | (document[1:] != document[:-1])))[0][: len(lone)]
+                times = np.diff(np.append(first, len(lone)))
+                document, lone = document[first], lone[first]
+                # The row for the document itself has a key that no word or gram has, and a place of its own in the join.
+                n = len(texts)
+                own = [b" %d %d" % (d or 0, m) for d, m in zip(ids.to_pylist(), marks)]
+                coded = (lone.view(np.uint64) | np.uint64(ord("g") << 56)).astype(">u8").tobytes()
+                coded = pa.Array.from_buffers(pa.binary(), len(lone), [None, pa.py_buffer(np.arange(len(lone) + 1, dtype=np.int32) * 8), pa.py_buffer(coded)])
+                key = pa.concat_arrays([pa.array(own, pa.binary()), pa.array([b"w" + w for w in cold_words], pa.binary()), coded])
+                owner = np.concatenate([np.arange(n), np.array(owners, np.int64), document]).astype(np.int64)
+                more = len(owner) - n
+                zeros = np.zeros(more)
+                sums = np.stack(sums, 1)
+                starts = np.cumsum(length) - length
+                padded = lambda x, kind: pa.array(np.concatenate([x, zeros]).astype(kind))
+                tf = np.concatenate([np.zeros(n), np.array(tfs, float), times]).astype(np.int64)
+                out = [ids.take(pa.array(owner)), pa.array(np.array(marks, np.int64)[owner]), padded(np.ones(n), np.int64), key, pa.array(tf), padded(np.array(sizes), np.int64), padded(sums[0], np.int64), padded(sums[1], float), padded(np.add.reduceat(price, starts), float)]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "mark", "whole", "key", "tf", "n", "known", "base", "own"])
+
+    rows = docs.mapInArrow(split, "doc_id long, mark long, whole long, key binary, tf long, n long, known long, base double, own double")
+    joined = rows.join(cold, "key", "left")
     or0 = lambda c: F.coalesce(c, F.lit(0))
     summed = joined.groupBy("doc_id", "mark").agg(
         F.sum("whole").alias("copies"),
-        F.sum(F.col("n") + tf).alias("n"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, tf).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + or0(tf * F.log10(F.col("c") + 1.0))).alias("base"),
-        *[F.sum(F.col(f"s{p}") + or0(tf * F.col(p))).alias(p) for p in prices],
+        F.sum("n").alias("n"),
+        F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
+        F.sum(F.col("base") + or0(F.col("tf") * F.log10(F.col("c") + 1.0))).alias("base"),
+        F.sum(F.col("own") + or0(F.col("tf") * F.col("price"))).alias("own"),
     )
     # Rows of one doc_id and one text were summed together.
     each = lambda c: F.col(c) / F.col("copies")
     out = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    weights = [float(np.log10(max(1, sizes[x]) / max(1, learned))) for x in used]
-    parts = F.array(*[each(p) + w for p, w in zip(prices, weights)])
-    out = out.withColumn("parts", parts).withColumn("best", F.array_max("parts"))
-    mixed = F.col("best") + F.log10(F.aggregate("parts", F.lit(0.0), lambda total, x: total + F.pow(F.lit(10.0), x - F.col("best"))))
+    for t in tables:
+        discard(t)
     return out.select(
         "doc_id",
-        fold.alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True)).alias("held_out"),
         each("n").cast("long").alias("n_tokens"),
         each("known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (each("base") - each("n") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
-        mixed.alias("score"),
+        (each("base") - each("n") * F.lit(math.log10(total + kinds + 1))).alias("base_score"),
+        each("own").alias("score"),
     )
