@@ -165,6 +165,30 @@ def test_minhash(docs, none):
     assert minhash.near_duplicates(none, size=4).count() == 0
 
 
+def test_texts_of_one_id_link_in_any_order(spark):
+    """The verdict's case: a document with two texts, of which either has a near copy; the order of its rows is nothing."""
+    from tidelog.llm import minhash
+
+    rng = random.Random(8)
+    one, two = ([f"{c}{rng.randrange(10**6)}" for _ in range(120)] for c in "ab")
+    near = lambda w, at: " ".join([*w[:at], "changed", *w[at + 1 :]])
+    for first, second in ((one, two), (two, one)):
+        rows = [(5, " ".join(first)), (5, " ".join(second)), (7, near(one, 60)), (8, near(two, 60)), (9, " ".join(one)), (2, near(one, 20))]
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+            assert {r["component_id"] for r in minhash.near_duplicates(docs, size=4).collect()} == {2}
+
+
+def test_equal_sets_of_different_texts(spark):
+    """Repeated lines give one set of shingles; such texts are compared like any others."""
+    from tidelog.llm import minhash
+
+    line = "one two three four five six seven"
+    docs = spark.createDataFrame([(4, " ".join([line] * 3)), (6, " ".join([line] * 9)), (8, line)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, size=4).collect()}
+    assert got == {4: (7, 4), 6: (7, 4), 8: (4, 8)}
+
+
 def test_superminhash_equals_the_definition():
     from tidelog.llm import minhash as m
 

@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests, one machine) a temporary folder of this process serves.
+    Where the setting is unset a temporary folder of this process serves, on one machine (local master) only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
         base = _own_folder[0]
@@ -85,7 +87,7 @@ def runs(batches, key: int = 0):
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), where component
-    is the smallest node reachable. Nodes are longs; loops and repeated edges are harmless.
+    is the smallest node reachable. Nodes are of any type with an order; loops and repeated edges are harmless.
 
     Contraction: in each round every node hooks to its smallest neighbour or itself, edges and labels
     are renamed by that map, and inner edges vanish. At least half of the nodes that still have an edge
@@ -111,5 +113,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             discard(old)
         edges, labels = nxt, fresh
     if labels is None:
-        return spark.createDataFrame([], "node long, component long")
+        return spark.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("b").alias("component")).schema)
     return labels
