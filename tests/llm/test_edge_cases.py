@@ -341,14 +341,28 @@ def test_estimates_are_unbiased_and_bounded():
     from tidelog.llm import embedding_dedup as e
 
     rng = np.random.default_rng(7)
-    turn = e.rotation(32, 256)
-    u = rng.normal(size=(300, 32))
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    signs, factor = e.codes(u, turn)
-    est = ((2.0 * signs - 1) / math.sqrt(len(turn))) @ (u @ turn.T).T / factor[:, None]
-    error = est - u @ u.T
-    slack = e.BOUND * np.sqrt(1 - factor**2) / factor / math.sqrt(len(turn) - 1)
-    assert abs(error.mean()) < 0.005 and (np.abs(error) <= slack[:, None]).mean() > 0.9999
+    for dim, groups in ((32, 12), (64, 12), (100, 60)):
+        turn = e.rotation(dim, max(7 * groups, e.estimate_bits(dim)))
+        u = rng.normal(size=(300, dim)) * 10.0 ** rng.integers(-200, 150, (300, 1))
+        made = e.Codes.of(u, turn)
+        read = e.Codes.read(made.blobs().to_pylist(), dim, len(turn))
+        assert all(np.array_equal(x, y) for x, y in ((made.signs, read.signs), (made.planes, read.planes), (made.numbers, read.numbers)))
+        unit = e.scaled(u)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        assert np.array_equal(read.keys(7, groups), e.bit_keys(unit @ turn.T > 0, 7, groups))
+        estimate, slack = read.estimates(read)
+        error = estimate - unit @ unit.T
+        assert abs(error.mean()) < 0.005 and (np.abs(error) <= slack).mean() > 0.9999 and np.median(slack) < 0.6
+
+
+def test_links_count_other_ids_once(spark):
+    """Repeated rows count once, an id with two vectors has the links of each, and huge and tiny vectors link like any others."""
+    from tidelog.llm import embedding_dedup as e
+
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1e200, 0.0]), (4, [1e-200, 1e-203]), (5, [0.0, 1.0]), (5, [0.0, -1.0]), (6, [0.001, -1.0]), (7, [0.0, 1.0])]
+    table = spark.createDataFrame([(*r, "l", 1, 2) for r in rows], "vec_id long, embedding array<double>, label string, n int, code int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in e.links(table).collect()))
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
 
 
 def test_warc(spark):

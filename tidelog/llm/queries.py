@@ -74,7 +74,7 @@ ORACLE_SQL = {
     """,
     "op5_embedding_dedup": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
             WHERE label IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
         ),
         pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
