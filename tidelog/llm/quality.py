@@ -4,12 +4,14 @@ Boosted shallow trees over the statistics give paths; each path is a conjunction
 with an L1 penalty keeps few of them. The kept rules become one Spark column expression over the statistics.
 
 The model is fitted in the driver on at most FIT_ROWS labelled documents (those of least hash of doc_id; a document
-with several labels counts by the greatest). Without labels of both kinds the score is a constant: the smoothed share
-of label 1. A null or empty text has statistics of 0 and a score like any other.
+with several labels counts by the greatest, one with several texts by that of the least statistics). All paths of the trees compete for weights. Without labels of
+both kinds the score is a constant: the smoothed share of label 1. A null or empty text has statistics of 0 and a score like any other. Repeated rows have equal scores, an
+empty table gives an empty result, and further columns, of whatever name, have no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from .common import slices
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
-TREES, DEPTH, BINS, RATE, LEAST_ROWS, MAX_RULES, PENALTY = 24, 3, 32, 0.3, 5, 240, 3e-3
+TREES, DEPTH, BINS, RATE, LEAST_ROWS, PENALTY = 24, 3, 32, 0.3, 5, 3e-3
 
 STATISTICS = ["chars", "words", "word_length", "upper", "digits", "symbols", "bars", "bangs", "stops", "commas", "high_bytes", "spaces", "lines", "line_length", "distinct_words", "distinct_lines", "top_word", "short_lines", "shouted_words", "entropy"]
 
@@ -41,10 +43,10 @@ def statistics(text: str | None) -> list[float]:
     share = np.bincount(_CLASS, counts, 10) / n
     words, lines = data.split(), data.split(b"\n")
     m = max(1, len(words))
-    distinct = set(words)
+    distinct = Counter(words)
     p = counts[counts > 0] / n
     shouted = sum(1 for w in distinct if len(w) > 1 and w.isupper()) / max(1, len(distinct))
-    top = max(map(words.count, sorted(distinct, key=lambda w: (len(w), w))[:8]), default=0) / m
+    top = max(distinct.values(), default=0) / m
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), sum(map(len, words)) / m, float(share[1]), float(share[2]), float(share[3]), float(share[4]), float(share[5]), float(share[6]), float(share[7]), float(share[9]), float(share[8]),
         float(np.log1p(len(lines))), float(np.log1p(n / len(lines))), len(distinct) / m, len(set(lines)) / len(lines), top, sum(1 for x in lines if len(x) < 20) / len(lines), shouted, float(-(p * np.log2(p)).sum()),
@@ -117,7 +119,7 @@ def fit(table: np.ndarray, labels: np.ndarray) -> tuple[float, list[tuple[float,
         step, paths = _grow(x, cuts, p - y, p * (1 - p))
         margin += RATE * step
         rules.update(dict.fromkeys(paths))
-    rules = list(rules)[:MAX_RULES]
+    rules = list(rules)
     z = np.stack([_holds(table, r) for r in rules], 1).astype(float)
     usual, spread = z.mean(0), z.std(0) + 1e-3
     z = (z - usual) / spread
@@ -160,7 +162,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tupl
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # its size is bounded, so it can be broadcast
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    got = with_statistics(labelled, keep=["doc_id", "quality"]).orderBy("doc_id", *[f"stat_{s}" for s in STATISTICS]).limit(2 * rows).toPandas()
+    # One row for each document: at most as many as the sample has.
+    each = with_statistics(labelled, keep=["doc_id", "quality"]).groupBy("doc_id", "quality").agg(F.min(F.struct(*[f"stat_{s}" for s in STATISTICS])).alias("x"))
+    got = each.select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")
     return fit(got.iloc[:, 2:].to_numpy(float).reshape(-1, len(STATISTICS)), got["quality"].to_numpy(int))
 
 
