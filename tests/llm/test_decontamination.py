@@ -35,6 +35,22 @@ def test_numbers_beside_a_template(spark):
     assert found(spark, [item], [item, other]) == {(0, 0), (1, 0)}
 
 
-def test_floor_of_tokens_stays(spark):
-    """Items under 5 tokens are declared to match nothing; characters count as tokens."""
-    assert found(spark, ["12 + 7 + 30", "小明有书"], ["12 + 7 + 30", "小明有书"]) == set()
+def test_short_items_match_as_they_stand(spark):
+    """Items under 5 tokens match verbatim; cleaned() leaves them out."""
+    from tidelog.llm import decontamination as d
+
+    items, docs = ["12 + 7 + 30", "小明有书", "Who wrote Hamlet?", "+ - !", "osmosis"], ["so 12 + 7 + 30 it is", "小明有书", "Tell me: who wrote Hamlet? Shakespeare.", "Who wrote Macbeth? 12 + 7 + 31", "By osmosis."]
+    assert found(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (4, 4)}
+    table = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    assert d.cleaned(table(docs, "doc_id"), table(items, "item_id")).count() == len(docs)
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Halves of an item in two rows of one doc_id are no leak; the whole item in one of them is."""
+    from tidelog.llm import decontamination as d
+
+    words = BASKET.split()
+    items = spark.createDataFrame([(0, BASKET)], "item_id long, text string")
+    rows = [(1, " ".join(words[:16])), (1, " ".join(words[16:])), (2, "nothing here"), (2, f"So: {BASKET}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in d.leaks(docs, items).collect()} == {(2, 0)}

@@ -10,10 +10,12 @@ nearest: copies with words put in or left out), and for the first places of all
 
 Characters of scripts without spaces between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) are a token each.
 
-Items of fewer tokens than WINDOW have one window, the whole item. Windows with fewer than half of literal tokens are too common as templates; they match
-the same tokens as they stand only (numbers and names included), by the hash of these. Items of fewer than LEAST tokens are too common to tell a leak and match nothing.
+Items of fewer tokens than WINDOW have one window, the whole item. Windows with fewer than half of literal tokens, and items of fewer than LEAST tokens, are too common as
+templates; they match the same tokens as they stand only (numbers and names included), by the hash of these. leaks() reports items of any length; cleaned() leaves
+those of fewer than LEAST tokens out, as a document that holds two or three common words in a row is no leak.
 
-Defined results: null or empty texts have no windows. Rows without item_id or doc_id take no part. Repeated rows give one result row.
+Defined results: null or empty texts, and items without letters or digits, have no windows. Rows without item_id or doc_id take no part. Repeated rows give one result row;
+of several texts of one doc_id each is read by itself, and one that leaks makes the result. Other columns, of whatever name, have no part.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 
 
 def _spaced(text: Column) -> Column:
-    return F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    # Scripts are looked up only in texts with a character from the first of them (Thai) on: a range is quick to test.
+    return F.when(text.rlike(r"[\x{0E00}-\x{10FFFF}]"), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
 
 
 def template_tokens(text: Column) -> Column:
@@ -66,19 +69,19 @@ def _slots_in(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t.contains("\u0001")))
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (item_id, variant, size, place, literal, h, slots) of the windows; a variant is one of the texts of an item_id. literal: the window matches as it stands only."""
+def benchmark_windows(benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """Rows (item_id, variant, size, place, literal, h, slots) of the windows; a variant is one of the texts of an item_id. literal: the window matches as it stands only. Items have at least so many tokens."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).distinct().withColumn("variant", F.xxhash64("t"))
-    items = items.withColumn("tokens", template_tokens(F.col("t"))).withColumn("raw", raw_tokens(F.col("t"))).where(F.size("tokens") >= LEAST)
+    items = items.withColumn("tokens", template_tokens(F.col("t"))).withColumn("raw", raw_tokens(F.col("t"))).where(F.size("tokens") >= least)
     sizes = [
         items.where(F.size("tokens") >= WINDOW if size == WINDOW else F.size("tokens") == size).select("item_id", "variant", "tokens", "raw", F.lit(size).alias("size"), F.posexplode(windows(F.col("tokens"), size)).alias("place", "h"))
-        for size in range(LEAST, WINDOW + 1)
+        for size in range(max(1, least), WINDOW + 1)
     ]
     found = sizes[0]
     for more in sizes[1:]:
         found = found.unionAll(more)
     window = lambda tokens: F.slice(tokens, F.col("place") + 1, F.col("size"))
-    found = found.withColumn("literal", 2 * _slots_in(window("tokens")) > F.col("size")).withColumn("h", F.when(F.col("literal"), F.xxhash64(window("raw"))).otherwise(F.col("h")))
+    found = found.withColumn("literal", (2 * _slots_in(window("tokens")) > F.col("size")) | (F.col("size") < LEAST)).withColumn("h", F.when(F.col("literal"), F.xxhash64(window("raw"))).otherwise(F.col("h")))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("place") + i).alias("at"), F.element_at("tokens", F.col("place") + i + 1).alias("kind"), F.element_at("raw", F.col("place") + i + 1).alias("value"))), lambda s: s["kind"].contains("\u0001"))
     # What matches as it stands has no fillings to compare.
     slots = F.when(F.col("literal"), F.slice(slots, 1, 0)).otherwise(slots)
@@ -90,6 +93,8 @@ def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[tuple[bool, int]], ne
 
     def sized(literal: bool, size: int) -> Column:
         hashes = F.transform(windows(F.col("raw" if literal else "tokens"), size), lambda h, i: F.struct(F.lit(literal).alias("literal"), F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
+        if size < LEAST:
+            return hashes
         # The first token of a window can be a name by what stands before it; all others are what they are in the item.
         return F.when(2 * (_slots_in(F.col("tokens")) + 1) > size, hashes).otherwise(F.slice(hashes, 1, 0)) if literal else hashes
 
@@ -121,14 +126,16 @@ def readings(hits: DataFrame, totals: DataFrame) -> DataFrame:
     return every.join(enough.select(*copy, "reading"), [*copy, "reading"], "left_semi")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, cover, consistent), one for each document and item that leaks into it."""
-    bench = stored(benchmark_windows(benchmark), "benchmark-windows")
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """Rows (doc_id, item_id, cover, consistent), one for each document and item (of least tokens or more) that leaks into it."""
+    bench = stored(benchmark_windows(benchmark, least), "benchmark-windows")
     totals = bench.groupBy("item_id", "variant").agg(F.count("*").alias("n_windows"), F.count_if(~F.col("literal")).alias("n_templates"))
     sizes = sorted((r[0], r[1]) for r in bench.select("literal", "size").distinct().collect())
     small = bench.count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda df: df)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # From here on doc_id is the id with a hash of the text: texts of one id stay apart.
+    texts = texts.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
     tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
     hits = _hits(tokens, bench, sizes, near)
     # An item's window counts once in a document's cover; a document's rows are combined before they move.
@@ -136,7 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = stored(_cover(hits, near(totals), ["doc_id", "item_id", "variant"]).withColumn("slotted", F.col("slots") > 0), "leaks")
     slotted = found.where("slotted")
     plain = found.where("not slotted").select("doc_id", "item_id", "cover", F.lit(1.0).alias("consistent"))
-    best = lambda df: df.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
+    best = lambda df: df.groupBy(F.col("doc_id.doc_id").alias("doc_id"), "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
     if slotted.isEmpty():
         return best(plain)
     # Only documents with slots to compare are read again, for all places of their windows.
@@ -157,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best(plain.unionAll(slotted.join(share, copy).select("doc_id", "item_id", "cover", "consistent")))
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents into which an item leaks; documents without doc_id stay."""
-    bad = stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
+def cleaned(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """docs without the documents into which an item of least tokens or more leaks; documents without doc_id stay."""
+    bad = stored(leaks(docs, benchmark, least).select("doc_id").distinct(), "leaking")
     return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
