@@ -11,27 +11,28 @@ The index gives any document by reading one frame. Files are named by partition,
 documents ascend (null ids first), so that names and indexes together give the order of all documents. The dictionary lies beside
 the files as a table of one row and is checked by its hash.
 
-Defined results: a null or empty text is a document of the end id alone; repeated doc_ids are separate documents.
+Defined results: a null or empty text is a document of the end id alone; repeated doc_ids are separate documents; an empty table gives no documents; further columns, of
+whatever name, have no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, work_path
 
 MAGIC, HEAD, ENTRY = b"TIDS", struct.Struct("<4sHHIQQ32s"), struct.Struct("<qBQII")
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
-#: The dictionary is trained on at most so many documents (those of least hash of doc_id), of each at most so many tokens.
+#: The dictionary is trained on a bounded sample: so many documents (those of least hash of doc_id; twice as many where ids repeat), of each the first so many tokens. It has
+#: a part in the files' size only, never in their content.
 DICTIONARY_DOCS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
 MEMO_WORDS = 500_000
@@ -276,8 +277,7 @@ def load_dictionary(spark: SparkSession, path: str) -> bytes:
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32, ids) in the files' order by start. start counts the ids of all documents before; the sums for
-    it are one number a file."""
+    """Rows (doc_id, start, n_tokens, ids_crc32, ids) in the files' order by start. start counts the ids of all documents before."""
     dictionary = load_dictionary(spark, path)
     kept = spark.sparkContext.broadcast(dictionary)
     dictionary_hash = hashlib.sha256(dictionary).digest()
@@ -303,13 +303,14 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
 
     read = files.mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
     read = read if ids else stored(read.drop("ids"), "token-index")  # small without the ids, so the files are read once
-    where = lambda row: tuple(map(int, re.search(r"part-(\d+)-.*-c(\d+)", row[0]).groups()))
-    begins, total = [], 0
-    for file, tokens in sorted(read.groupBy("file").agg(F.sum("n_tokens")).collect(), key=where):
-        begins.append((file, total))
-        total += tokens
-    begins = spark.createDataFrame(begins, "file string, begin long")  # a row for each file
-    return read.join(F.broadcast(begins), "file").withColumn("start", F.col("begin") + F.col("place")).select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else []))
+    # The ids before a file: those of the files before it in its part, and of the parts before. The sums over parts are a row for each.
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number(r"part-(\d+)-[^/]*$").alias("part"), number(r"part-\d+-[^/]*-c(\d+)[^/]*$").alias("c"))
+    totals = stored(totals, "token-totals")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("first"))
+    begins = totals.join(parts, "part").select("file", (F.col("first") + F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("c")), F.lit(0))).alias("begin"))
+    return read.join(begins, "file").withColumn("start", F.col("begin") + F.col("place")).select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, end_id: int = 2) -> DataFrame:
