@@ -132,6 +132,20 @@ def test_trigram_queries_let_every_match_through():
     assert secrets.trigram_query("[0-9a-f]+") is None and secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
 
 
+def test_long_runs_are_scanned_once():
+    import time
+
+    from tidelog.llm import secrets
+
+    start = time.time()
+    part = "A" * 12
+    texts = ["eyJ" * 300_000, f"x eyJ{part}.eyJ{part}.{part} y", "\u017f\u212a\u00e9 " * 50_000, "-----BEGIN " * 50_000, "token" + " " * 300_000]
+    got = secrets.Scanner().scan(texts)
+    assert [len(x) for x in got] == [0, 1, 0, 0, 0] and time.time() - start < 10
+    rule = [("word", r"schl\u00fcssel=[a-z]+", 0, 0)]
+    assert [len(x) for x in secrets.Scanner(rule).scan(["ein schl\u00fcssel=abc", "schlussel=abc", "SCHL\u00fcSSEL=abc"])] == [1, 0, 0]
+
+
 def test_quality(spark, docs, none):
     from tidelog.llm import quality
 

@@ -1,12 +1,13 @@
 """Secret scans with a trigram index.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every text with a match
-satisfies. Each block of texts gets an inverted index of the trigrams that the queries mention; postings
+satisfies. Each block of texts gets an inverted index, made in one pass over its bytes, of the trigrams that the queries mention; postings
 are intersected and united as the queries say, and the surviving texts are verified with the expression itself.
-Rules without a mandatory trigram scan every text. The index holds lower-case letters (A-Z only), so that
+Rules without a mandatory trigram scan every text. The index holds lower-case letters (A-Z only) of UTF-8 bytes, so that
 one index serves rules with and without regard to case; it only ever lets more candidates through.
 
-Defined results: a null or empty text has no spans; repeated rows give repeated results; spans count code points.
+Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty result; spans count code points; further
+columns, of whatever name, stay as they are. A web token (jwt) starts where no character of its alphabet stands before it, so that long runs are read once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from re import _constants as op
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ ADDED_RULES = [
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
     ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 ]
 RULES = BASE_RULES + ADDED_RULES
@@ -57,6 +59,8 @@ def _any(parts: list) -> object:
 
 
 def _of_strings(strings: set[str]) -> object:
+    """Trigrams are of UTF-8 bytes, written as Latin-1."""
+    strings = {s.encode().decode("latin-1") for s in strings}
     return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
@@ -139,15 +143,29 @@ class Scanner:
         # A run of one class with a least length: shorter runs fail whatever follows, so the engine may skip them.
         self.rules = [(k, re.compile(p.pattern[:-1] + "{%d,}" % w) if re.fullmatch(r"\[[^\]]+\]\+", p.pattern) and w else p, w, g, q) for k, p, w, g, q in self.rules]
         self.mentioned = sorted(set().union(*(trigrams(q) for *_, q in self.rules)))
+        self.number = np.zeros(1 << 24, np.uint8 if len(self.mentioned) < 255 else np.uint16)  # by trigram, from 1
+        for i, g in enumerate(self.mentioned):
+            self.number[int.from_bytes(g.encode("latin-1"), "big")] = i + 1
+
+    def postings(self, texts: list[bytes]) -> dict[str, set[int]]:
+        """For each mentioned trigram the texts that hold it (and now and then one that ends where it begins)."""
+        data = np.frombuffer(b"".join(texts) + bytes(2), np.uint8).astype(np.uint32)
+        number = self.number[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
+        at = np.nonzero(number)[0]
+        ends = np.cumsum([len(t) for t in texts])
+        found = np.unique(number[at].astype(np.int64) * max(1, len(texts)) + np.searchsorted(ends, at, "right"))
+        out: dict[str, set[int]] = {g: set() for g in self.mentioned}
+        for key in found.tolist():
+            out[self.mentioned[key // len(texts) - 1]].add(key % len(texts))
+        return out
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text the spans (start, rule number, end), by start and rule."""
-        folded = [_fold_text(t) if t else "" for t in texts]
-        everything = {i for i, t in enumerate(folded) if t}
-        postings = {g: {i for i in everything if g in folded[i]} for g in self.mentioned}
+        everything = {i for i, t in enumerate(texts) if t}
+        postings = self.postings([t.encode().lower() if t else b"" for t in texts])
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for number, (_, pattern, whole, group, query) in enumerate(self.rules):
-            for i in _rows(query, postings, everything):
+            for i in _rows(query, postings, everything) & everything:
                 for m in pattern.finditer(texts[i]):
                     if m.end() - m.start() >= whole and (not group or len(m[2]) >= group):
                         out[i].append((m.start(), number, m.end()))
@@ -156,10 +174,6 @@ class Scanner:
         return out
 
 
-def _fold_text(text: str) -> str:
-    return text.lower() if text.isascii() else text.encode().lower().decode()
-
-
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
