@@ -1,12 +1,14 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes a sequence of leaf blocks: runs of text between block-level tags, each with the path of open tags (names, class and id
-words, roles). A block is two mean vectors, one of its hashed path words and one of its hashed text words. A bidirectional LSTM
+words, roles). A block is two mean vectors, one of its hashed path words and one of its hashed text words, its length and the share of it that is link. A bidirectional LSTM
 in numpy reads the whole sequence, so each block is labelled in view of the document around it. The model is trained here, on pages that
 sample_page() makes up with known labels; its size is fixed, and the driver sends it to the executors.
 
-Defined results: null or empty html, and pages without content blocks, give an empty text. Scripts, styles, templates, form fields
-and comments are never text. Unclosed and stray tags are borne; a tag cut off by the end of the page is dropped.
+Defined results: null or empty html, and pages without content blocks, give an empty text. Scripts, styles, templates, form fields, embedded media and HTML
+comments are never text; formulas and noscript parts are. Unclosed and stray tags are borne; a tag cut off by the end of the page is dropped. Time is linear in the page: tags open
+deeper than MAX_DEPTH add nothing to a path, of a deeper path than PATH_TAGS the outer and inner halves count, and where quotes of more than a few tags run
+to the end of the page, its further tags end at the first >. Repeated rows give repeated results, an empty table an empty one; further columns, of whatever name, have no part.
 """
 
 from __future__ import annotations
@@ -26,14 +28,19 @@ from pyspark.sql import functions as F
 from .common import slices
 
 PATH_SLOTS, WORD_SLOTS, VECTOR, HIDDEN = 2048, 512, 16, 16
-TRAIN_PAGES, EPOCHS, SEED = 900, 7, 20
+TRAIN_PAGES, EPOCHS, SEED = 800, 6, 20
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+MAX_DEPTH, PATH_TAGS, BROKEN_QUOTES = 256, 48, 8
+#: Pages are labelled in groups of so many at most, and of so many blocks, padding included (or one page).
+GROUP_PAGES, GROUP_BLOCKS = 64, 8_000
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template svg iframe textarea title select option button head object math canvas audio video datalist".split())
+RAW = frozenset("script style template svg iframe textarea title select option button head object canvas audio video datalist annotation annotation-xml".split())
 VOID = frozenset("br img hr input meta link wbr source area base col embed param track".split())
-BLOCK = frozenset("html body p div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 address details summary hr center menu dialog legend hgroup search".split())
+BLOCK = frozenset("html body p div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 address details summary hr center menu dialog legend hgroup search noscript".split())
 _CLOSES_P = BLOCK - {"html", "body"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("ul ol dl table div section article main body nav aside header footer form".split())
@@ -53,39 +60,88 @@ def _path_words(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(_slot(w, PATH_SLOTS) for w in words)
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], str]]:
-    """(slots of the path words, text) of each leaf block in page order, white space turned into single spaces."""
-    out: list[tuple[tuple[int, ...], str]] = []
+class Tags:
+    """The tags of a page in order; the caller may move on to a later place."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.broken = page, page.rfind(">"), 0
+
+    def _end(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, end of the tag) of the tag whose name ends there: the next > outside quotes, or the next at all where a quote never ends."""
+        start = at
+        while self.broken < BROKEN_QUOTES:
+            stop = _STOP.search(self.page, at)
+            if stop is None:
+                self.broken += 1
+                break
+            if stop[0] == ">":
+                return stop.start(), stop.end()
+            close = self.page.find(stop[0], stop.end())
+            if close < 0:
+                self.broken += 1
+                break
+            at = close + 1
+        end = self.page.find(">", start)
+        return end, end + 1
+
+    def after(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, whether it closes) of the next tag; the name of a comment or declaration is empty."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", "", False
+            if at > self.last:
+                return None  # no tag ends any more, but a comment might still begin
+            if page[at + 1 : at + 2] in ("!", "?"):
+                return at, page.find(">", at) + 1, "", "", False
+            tag = _TAG.match(page, at)
+            if tag:
+                stop, end = self._end(tag.end())
+                return at, end, tag[2].lower(), page[tag.end() : stop], tag[1] == "/"
+            at += 1
+        return None
+
+
+def blocks(page: str) -> list[tuple[tuple[int, ...], str, float]]:
+    """(slots of the path words, text, share of it in links) of each leaf block in page order, white space turned into single spaces."""
+    out: list[tuple[tuple[int, ...], str, float]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
-    at, size = 0, len(page)
+    at, size, linked, links_open = 0, len(page), 0, 0
 
     def text(piece: str) -> None:
+        nonlocal linked
         if piece:
             parts.append(entities.unescape(piece) if "&" in piece else piece)
+            if links_open:
+                linked += len(parts[-1])
 
     def close() -> None:
+        nonlocal linked
         if parts:
             joined = " ".join("".join(parts).split())
             parts.clear()
             if joined:
-                out.append((tuple(s for _, p in stack for s in p), joined))
+                path = stack if len(stack) <= PATH_TAGS else stack[: PATH_TAGS // 2] + stack[-PATH_TAGS // 2 :]
+                out.append((tuple(s for _, p in path for s in p), joined, min(1.0, linked / len(joined))))
+        linked = 0
 
     def pop_to(depth: int) -> None:
+        nonlocal links_open
         if any(t in BLOCK for t, _ in stack[depth:]):
             close()
+        links_open -= sum(t == "a" for t, _ in stack[depth:])
         del stack[depth:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # within raw text
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    tags = Tags(page)
+    while found := tags.after(at):
+        start, end, tag, attributes, closing = found
+        text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag == "br":
                 parts.append(" ")
             for depth in range(len(stack) - 1, -1, -1):
@@ -105,9 +161,9 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str]]:
                 parts.append("" if tag == "wbr" else " ")
             continue
         if tag in RAW:
-            if tag not in ("head",) and not m[3].endswith("/"):
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else size
+            if tag not in ("head",) and not attributes.endswith("/"):
+                ended = _RAW_END[tag].search(page, at)
+                at = ended.end() if ended else size
                 parts.append(" ")
             continue
         if tag in BLOCK:
@@ -127,18 +183,19 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str]]:
                             break
                     elif stack[depth][0] in _SCOPE:
                         break
-        if not m[3].endswith("/") or tag in BLOCK:
-            stack.append((tag, _path_words(tag, m[3]) if m[3] else _path_words(tag, "")))
+        if (not attributes.endswith("/") or tag in BLOCK) and len(stack) < MAX_DEPTH:
+            stack.append((tag, _path_words(tag, attributes)))
+            links_open += tag == "a"
     rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
+    cut = re.search(r"<[a-zA-Z/!?]", rest)
     text(rest[: cut.start()] if cut else rest)
     close()
     return out
 
 
-def _words(text: str) -> list[int]:
+def _words(text: str, links: float) -> list[int]:
     words = dict.fromkeys(text.lower().split())
-    return [_slot(w, WORD_SLOTS) for w in words] + [_slot(f"#{min(9, len(text).bit_length())}", WORD_SLOTS)]
+    return [_slot(w, WORD_SLOTS) for w in words] + [_slot(f"#{min(9, len(text).bit_length())}", WORD_SLOTS), _slot(f"#links{round(4 * links)}", WORD_SLOTS)]
 
 
 # --- made-up pages -----------------------------------------------------------------------------------------------
@@ -149,7 +206,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
     parts: list[str] = []
     labels: list[bool] = []
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwéöñ") for _ in range(rng.randint(1, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
+    words = lambda a, b: " ".join(str(rng.randint(0, 2030)) if rng.random() < 0.03 else word() for _ in range(rng.randint(a, b))).capitalize()
     notes = ["cookie", "subscribe", "newsletter", "privacy", "copyright", "share", "login", "menu", "comments", "reply", "advertisement", "sponsored"]
     short = lambda: " ".join([word(), *([rng.choice(notes)] if rng.random() < 0.4 else []), *[word() for _ in range(rng.randint(0, 10))]])
 
@@ -184,6 +241,10 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
         bare = tag in bare_ok and kind not in ("comments", "share") and rng.random() < 0.5
         parts.append(f"<{tag}{'' if bare else attribute(names)}>")
         n = rng.randint(1, 7)
+        if kind == "notice" and rng.random() < 0.2:
+            parts.append("<noscript>")
+            block("p", short(), False)
+            parts.append("</noscript>")
         if kind == "comments":
             for _ in range(n):
                 shell = rng.choice(["", "li", "div", "article"])
@@ -211,6 +272,29 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
                 block(rng.choice(["p", "div", "h3"]), words(2, 40), False)
         parts.append(f"</{tag}>")
 
+    def items(tag: str, n: int) -> None:
+        """A list of the text: short items, of one make, with few links."""
+        long = rng.random() < 0.5
+        parts.append(f"<{tag}>")
+        for _ in range(n):
+            block("li", f"{rng.randint(1, 500)} {words(1, 6)}" if rng.random() < 0.3 else words(1, 20 if long else 6), True)
+        parts.append(f"</{tag}>")
+
+    def bare() -> None:
+        """Pages without anything around the text: no tags, or plain ones without names."""
+        kind = rng.choice(["none", "lines", "divs", "paragraphs", "list", "body"])
+        if kind in ("none", "lines"):
+            parts.append((" " if kind == "none" else "\n").join(words(1, 30) for _ in range(rng.randint(1, 5))))
+            labels.append(True)
+            return
+        parts.append(rng.choice(["", "<html><body>", "<body>"]))
+        if rng.random() < 0.5:
+            block("h1", words(1, 8), True)
+        if kind == "list":
+            items("ul", rng.randint(1, 9))
+        for _ in range(rng.randint(1, 6)):
+            block("div" if kind == "divs" else "p", words(1, 8) if rng.random() < 0.5 else words(8, 50), True)
+
     def main() -> None:
         shell = rng.choice(["article", "article", "main", "div", "div", "section", "main+article", "div+article", "body", "td"])
         good = ["content", "article", "post", "entry-content", "article-body", "story", "main", "post-content", "text", "main-content", "markdown-body"]
@@ -228,18 +312,26 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
             block("h1", words(2, 14), True)
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14, 25])):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.6:
                 block("p", words(1, 8) if rng.random() < 0.25 else words(8, 90), True, attribute(["lead", "text", "intro", "c1"]) if rng.random() < 0.05 else "")
-            elif r < 0.8:
+            elif r < 0.67:
                 block(rng.choice(["h2", "h3"]), words(1, 8), True)
-            elif r < 0.86:
-                tag = rng.choice(["ul", "ol"])
-                parts.append(f"<{tag}>")
-                for _ in range(rng.randint(1, 5)):
-                    block("li", words(1, 20), True)
-                parts.append(f"</{tag}>")
-            elif r < 0.9:
+            elif r < 0.79:
+                items(rng.choice(["ul", "ol"]), rng.randint(1, 10))
+            elif r < 0.81:
+                parts.append("<dl>")
+                for _ in range(rng.randint(1, 4)):
+                    block("dt", words(1, 4), True)
+                    block("dd", words(2, 20), True)
+                parts.append("</dl>")
+            elif r < 0.85:
                 block(rng.choice(["blockquote", "pre", "div"]), words(3, 40), True)
+            elif r < 0.87:
+                block(rng.choice(["p", "div"]), f"{words(1, 9)} <math><mi>{word()}</mi><mo>=</mo><mn>{rng.randint(0, 99)}</mn></math> {words(1, 9)}", True)
+            elif r < 0.88:
+                parts.append("<noscript>")
+                block("p", words(6, 40), True)
+                parts.append("</noscript>")
             elif r < 0.92:
                 parts.append("<table>")
                 for _ in range(rng.randint(1, 3)):
@@ -259,6 +351,9 @@ def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
         for tag in reversed(opened):
             parts.append(f"</{tag}>")
 
+    if rng.random() < 0.08:
+        bare()
+        return "".join(parts), labels
     parts.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>")
     for kind in ("notice", "header", "menu", "advert", "side"):
         if rng.random() < 0.5:
@@ -380,7 +475,7 @@ class Labeller:
 
 def features(page: str) -> tuple[list[tuple[tuple[int, ...], list[int]]], list[str]]:
     found = blocks(page)
-    return [(path, _words(text)) for path, text in found], [text for _, text in found]
+    return [(path, _words(text, links)) for path, text, links in found], [text for _, text, _ in found]
 
 
 def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
@@ -417,12 +512,16 @@ def trained() -> Labeller:
 
 
 def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
-    """The main text of each page. Pages are labelled in groups of like lengths."""
+    """The main text of each page. Pages are labelled in groups of like lengths, of GROUP_BLOCKS blocks at most, padding included."""
     got = [features(p) if p else ([], []) for p in pages]
     order = sorted(range(len(pages)), key=lambda i: len(got[i][0]))
     out = [""] * len(pages)
-    for start in range(0, len(order), 64):
-        part = order[start : start + 64]
+    while order:
+        # The last of a group is its longest page.
+        n = 1
+        while n < min(len(order), GROUP_PAGES) and (n + 1) * len(got[order[n]][0]) <= GROUP_BLOCKS:
+            n += 1
+        part, order = order[:n], order[n:]
         for i, chance in zip(part, model.chances([got[i][0] for i in part])):
             out[i] = "\n".join(t for t, c in zip(got[i][1], chance) if c >= 0.5)
     return out
