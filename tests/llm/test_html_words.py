@@ -15,7 +15,7 @@ def test_all_words_of_a_block_are_hashed():
         text = " ".join([*words[:place], "sponsored", *words[place:]])
         page = f"<body><div>{text}</div></body>"
         slots = h.features(page)[0][0][1]
-        assert h._slot("sponsored", h.WORD_SLOTS) in slots and len(slots) == len(dict.fromkeys(text.split())) + 1
+        assert h._slot("sponsored", h.WORD_SLOTS) in slots and len(slots) == len(dict.fromkeys(text.split())) + 2  # with the slots of length and links
 
 
 SHAPES = [
