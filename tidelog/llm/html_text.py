@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 PATH_SLOTS, WORD_SLOTS, VECTOR, HIDDEN = 2048, 512, 16, 16
-TRAIN_PAGES, EPOCHS, SEED = 800, 6, 20
+TRAIN_PAGES, EPOCHS, SEED = 1200, 8, 20
 
 MAX_DEPTH, PATH_TAGS, BROKEN_QUOTES = 256, 48, 8
 #: Pages are labelled in groups of so many at most, and of so many blocks, padding included (or one page).
@@ -201,12 +201,21 @@ def _words(text: str, links: float) -> list[int]:
 # --- made-up pages -----------------------------------------------------------------------------------------------
 
 
+@lru_cache(1)
+def _vocabulary() -> list[str]:
+    """Made-up words and a few numbers."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvwéöñ", k=rng.randint(1, 9))) for _ in range(20_000)]
+    return words + [str(rng.randint(0, 2030)) for _ in range(600)]
+
+
 def sample_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page and for each of its blocks whether it is main text."""
     parts: list[str] = []
     labels: list[bool] = []
-    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwéöñ") for _ in range(rng.randint(1, 9)))
-    words = lambda a, b: " ".join(str(rng.randint(0, 2030)) if rng.random() < 0.03 else word() for _ in range(rng.randint(a, b))).capitalize()
+    vocabulary = _vocabulary()
+    word = lambda: rng.choice(vocabulary)
+    words = lambda a, b: " ".join(rng.choices(vocabulary, k=rng.randint(a, b))).capitalize()
     notes = ["cookie", "subscribe", "newsletter", "privacy", "copyright", "share", "login", "menu", "comments", "reply", "advertisement", "sponsored"]
     short = lambda: " ".join([word(), *([rng.choice(notes)] if rng.random() < 0.4 else []), *[word() for _ in range(rng.randint(0, 10))]])
 
