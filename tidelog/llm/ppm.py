@@ -31,7 +31,7 @@ from .common import discard, slices, stored
 #: A gram of ORDER + 1 bytes is a positive long.
 ORDER = 6
 HOT_GRAMS, HOT_WORDS = 2_000_000, 200_000
-FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 250_000, 1_500_000, 6_000_000
+FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 200_000, 1_500_000, 1_500_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # can't be a word
 
@@ -44,10 +44,14 @@ def grams(spelled: list[bytes], order: int = ORDER) -> np.ndarray:
     """The grams of all bytes of the texts (each with its end mark), one text behind the other."""
     data = b"".join(END * order + s for s in spelled) + bytes(7)
     sizes = np.array([len(s) for s in spelled], np.int64)
-    starts = np.cumsum(sizes) - sizes
     windows = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
-    own = np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)) * order, sizes)
-    return (windows[own].astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    own = np.arange(sizes.sum())
+    own += np.repeat(np.arange(len(sizes)) * order, sizes)
+    keys = windows[own].astype(np.uint64)
+    keys >>= np.uint64(8 * (7 - order))
+    return keys.view(np.int64)
 
 
 def adaptive_bits(text: str | None, order: int = 3) -> float:
@@ -86,22 +90,28 @@ def count(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, others = Counter(), set()
         waiting: dict[bool, list[bytes]] = {True: [], False: []}
-        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def learn() -> None:
-            nonlocal held, sums, size
+            nonlocal size
             for training, spelled in waiting.items():
                 if spelled:
                     keys, n = np.unique(grams(spelled), return_counts=True)
-                    keys = np.concatenate([held, keys])
-                    n = np.concatenate([sums, n if training else np.zeros(len(n), np.int64)])
-                    order = np.argsort(keys, kind="stable")
-                    keys, n = keys[order], n[order]
-                    first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
-                    held, sums = keys[first], np.add.reduceat(n, first)
+                    held.append((keys, n if training else np.zeros(len(n), np.int64)))
                     spelled.clear()
             size = 0
+            if sum(len(k) for k, _ in held) > 2 * FLUSH_GRAMS:
+                merge()
+
+        def merge() -> None:
+            if len(held) > 1:
+                keys, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                held.clear()
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+                held.append((keys[first], np.add.reduceat(n, first)))
 
         def batch_of(w: list[bytes], g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             none = len(w) or len(g)
@@ -112,18 +122,19 @@ def count(docs: DataFrame) -> DataFrame:
             found = list(words.items()) + [(w, 0) for w in others.difference(words)]
             for s in range(0, len(found), 100_000):
                 part = found[s : s + 100_000]
-                yield batch_of([w for w, _ in part], held[:0], np.array([c for _, c in part]))
+                yield batch_of([w for w, _ in part], np.zeros(0), np.array([c for _, c in part]))
             words.clear()
             others.clear()
 
         def out_grams() -> Iterator[pa.RecordBatch]:
-            nonlocal held, sums
-            for s in range(0, len(held), 100_000):
-                yield batch_of([], held[s : s + 100_000], sums[s : s + 100_000])
-            held, sums = held[:0], sums[:0]
+            merge()
+            for keys, n in held:
+                for s in range(0, len(keys), 100_000):
+                    yield batch_of([], keys[s : s + 100_000], n[s : s + 100_000])
+            held.clear()
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, max_bytes=1_500_000):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = words_of(text)
                     spelled = b" ".join(found) + END
@@ -136,7 +147,7 @@ def count(docs: DataFrame) -> DataFrame:
                     learn()
                 if len(words) + len(others) > FLUSH_WORDS:
                     yield from out_words()
-                if len(held) > FLUSH_GRAMS:
+                if held and len(held[0][0]) > FLUSH_GRAMS:
                     yield from out_grams()
         learn()
         yield from out_words()
@@ -272,7 +283,7 @@ def score(docs: DataFrame) -> DataFrame:
         index, table = {w: i for i, w in enumerate(words)}, PriceTable(keys, values)
         columns = np.stack([counts > 0, np.log10(counts + 1.0)])
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, max_bytes=1_500_000):
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 marks, spelled, sums, sizes, cold_words, tfs, owners = [], [], [], [], [], [], []
                 for i, text in enumerate(texts):
