@@ -274,10 +274,10 @@ def test_ppm_grams_and_price_table():
     assert got.tolist() == want and len(ppm.grams([])) == 0
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 56, 5000))
-    table = ppm.PriceTable(keys[::2], np.arange(len(keys[::2]), dtype=float))
+    table = ppm.PriceTable(*ppm.PriceTable.hashed(keys[::2], np.arange(len(keys[::2]), dtype=float)))
     found = table.find(keys)
     assert found[::2].tolist() == list(range(len(keys[::2]))) and np.isnan(found[1::2]).all()
-    assert np.isnan(ppm.PriceTable(keys[:0], np.zeros(0)).find(keys[:9])).all()
+    assert np.isnan(ppm.PriceTable(*ppm.PriceTable.hashed(keys[:0], np.zeros(0))).find(keys[:9])).all()
     assert ppm.adaptive_bits("abcabcabc" * 20) < 8 * 180 / 3 and ppm.adaptive_bits(None) == 0
 
 

@@ -31,7 +31,7 @@ from .common import discard, slices, stored
 #: A gram of ORDER + 1 bytes is a positive long.
 ORDER = 6
 HOT_GRAMS, HOT_WORDS = 2_000_000, 200_000
-FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 200_000, 1_500_000, 1_500_000
+FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 150_000, 800_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # can't be a word
 
@@ -134,7 +134,7 @@ def count(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, 1, max_bytes=1_500_000):
+            for part in slices(batch, 1, max_bytes=1_000_000):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = words_of(text)
                     spelled = b" ".join(found) + END
@@ -223,37 +223,35 @@ def _hot_from(table: DataFrame, most: int) -> int:
     return least
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplication by it loses nothing
+
+
 class PriceTable:
-    """Open addressing over arrays: prices of grams."""
+    """Prices of grams, sorted by the grams' hashes (hashed()), with the first place of each value of their top bits: little more memory than the entries have."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        slot, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[left[free]]
-            placed = self.keys[slot] == keys[left]
-            self.values[slot[placed]] = values[left[placed]]
-            slot, left = (slot[~placed] + 1) & ((1 << self.bits) - 1), left[~placed]
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.values = np.append(hashes, np.uint64(2**64 - 1)), np.append(values, np.nan)
+        self.shift = np.uint64(64 - max(1, len(hashes)).bit_length())
+        self.start = np.searchsorted(hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    @staticmethod
+    def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = keys.view(np.uint64) * _STEP
+        order = np.argsort(hashes)
+        return hashes[order], values[order]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values, NaN for keys that aren't there."""
-        slot = self._slots(keys)
-        there = self.keys[slot]
-        out = self.values[slot]
-        left = np.nonzero(there != keys)[0]
+        want = keys.view(np.uint64) * _STEP
+        at = self.start[want >> self.shift]
+        there = self.hashes[at]
+        left = np.nonzero(there < want)[0]
         while len(left):
-            empty = there[left] < 0
-            out[left[empty]] = np.nan
-            left = left[~empty]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            there[left] = self.keys[slot[left]]
-            out[left] = self.values[slot[left]]
-            left = left[there[left] != keys[left]]
+            at[left] += 1
+            there[left] = self.hashes[at[left]]
+            left = left[there[left] < want[left]]
+        out = self.values[at]
+        out[there != want] = np.nan
         return out
 
 
@@ -274,7 +272,7 @@ def score(docs: DataFrame) -> DataFrame:
     word_from, gram_from = _hot_from(vocabulary, HOT_WORDS), _hot_from(priced, HOT_GRAMS)
     hot_words = vocabulary.where(F.col("n") >= word_from).toArrow()
     hot_grams = priced.where(F.col("n") >= gram_from).select("gram", "price").toArrow()
-    hot = spark.sparkContext.broadcast((hot_words.column("word").to_pylist(), hot_words.column("n").to_numpy(), hot_grams.column("gram").to_numpy(), hot_grams.column("price").to_numpy()))
+    hot = spark.sparkContext.broadcast((hot_words.column("word").to_pylist(), hot_words.column("n").to_numpy(), *PriceTable.hashed(hot_grams.column("gram").to_numpy(), hot_grams.column("price").to_numpy())))
     cold = vocabulary.where(F.col("n") < word_from).select(F.concat(F.lit(b"w"), F.col("word")).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("price"))
     cold = cold.unionAll(priced.where(F.col("n") < gram_from).select(_gram_key(F.col("gram")).alias("key"), F.lit(None).cast("long").alias("c"), "price"))
 
@@ -283,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
         index, table = {w: i for i, w in enumerate(words)}, PriceTable(keys, values)
         columns = np.stack([counts > 0, np.log10(counts + 1.0)])
         for batch in batches:
-            for part in slices(batch, 1, max_bytes=1_500_000):
+            for part in slices(batch, 1, max_bytes=1_000_000):
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 marks, spelled, sums, sizes, cold_words, tfs, owners = [], [], [], [], [], [], []
                 for i, text in enumerate(texts):
