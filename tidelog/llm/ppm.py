@@ -31,7 +31,7 @@ from .common import discard, slices, stored
 #: A gram of ORDER + 1 bytes is a positive long.
 ORDER = 6
 HOT_GRAMS, HOT_WORDS = 2_000_000, 200_000
-FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 150_000, 800_000, 1_000_000
+FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 150_000, 1_300_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # can't be a word
 
@@ -98,7 +98,7 @@ def count(docs: DataFrame) -> DataFrame:
             for training, spelled in waiting.items():
                 if spelled:
                     keys, n = np.unique(grams(spelled), return_counts=True)
-                    held.append((keys, n if training else np.zeros(len(n), np.int64)))
+                    held.append((keys, n.astype(np.int32) if training else np.zeros(len(n), np.int32)))
                     spelled.clear()
             size = 0
             if sum(len(k) for k, _ in held) > 2 * FLUSH_GRAMS:
@@ -110,6 +110,7 @@ def count(docs: DataFrame) -> DataFrame:
                 held.clear()
                 order = np.argsort(keys, kind="stable")
                 keys, n = keys[order], n[order]
+                del order
                 first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
                 held.append((keys[first], np.add.reduceat(n, first)))
 
