@@ -115,7 +115,7 @@ def test_token_files(spark, tables):
         start += len(ids)
 
 
-def plain_ppm(training, texts, order=6):
+def plain_ppm(training, texts, order=5):
     """log10 probability of each text by the textbook recursion: every byte in its contexts of order down to 0, with exclusion."""
     spell = lambda t: b"\n" * order + b" ".join(t.encode().lower().split()) + b"\n"
     nodes = defaultdict(Counter)

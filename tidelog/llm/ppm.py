@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, stored
 
-#: A gram of ORDER + 1 bytes is a positive long.
-ORDER = 6
-HOT_GRAMS, HOT_WORDS = 2_000_000, 200_000
+#: A gram of ORDER + 1 bytes (7 at most) is a positive long.
+ORDER = 5
+HOT_GRAMS, HOT_WORDS = 1_500_000, 200_000
 FLUSH_WORDS, FLUSH_GRAMS, FLUSH_BYTES = 150_000, 1_300_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # can't be a word
@@ -257,7 +257,7 @@ class PriceTable:
 
 
 def _gram_key(gram: Column) -> Column:
-    return F.concat(F.lit(b"g"), F.unhex(F.lpad(F.hex(gram), 2 * (ORDER + 1), "0")))
+    return F.concat(F.lit(b"g"), F.unhex(F.lpad(F.hex(gram), 14, "0")))
 
 
 def score(docs: DataFrame) -> DataFrame:
