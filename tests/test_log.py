@@ -1,5 +1,7 @@
 """Rules of the log, by small cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +333,40 @@ def test_numbers_by_ranges_equal_those_of_a_window(spark):
     many = log.assign_offsets(log.route(source, 4, ["ts", "i"], ranges=5), ["ts", "i"], ranges=5)
     assert one.select("i", "partition", "offset").exceptAll(many.select("i", "partition", "offset")).isEmpty() and many.count() == 400
     assert numbered(rows.where("false"), ["g"], ["t", "i"], "n", 7).count() == 0
+
+
+def test_fnv_of_any_bytes(spark):
+    from tidelog.functions import core
+
+    rng = random.Random(6)
+    keys = [b"", b"\x00", bytes(range(256)), "é的😀".encode(), *[rng.randbytes(rng.randint(1, 40)) for _ in range(200)]]
+
+    def plain(data):
+        h = 14695981039346656037
+        for x in data:
+            h = (h ^ x) * 1099511628211 % 2**64
+        return h
+
+    rows = spark.createDataFrame([(bytearray(k),) for k in keys], "k binary").select(core.fnv1a64(F.col("k")).alias("h")).collect()
+    assert [(r["h"]["hi"] << 32) | r["h"]["lo"] for r in rows] == [plain(k) for k in keys]
+
+
+def test_round_robin_counts_by_topic(spark):
+    from tidelog.operators import log
+
+    rows = [("a" if i % 3 else "b", None, b"v", i) for i in range(30)]
+    got = log.route(spark.createDataFrame(rows, "topic string, key binary, value binary, at int"), 4, ["at"]).orderBy("at").collect()
+    for topic in "ab":
+        assert [r["partition"] for r in got if r["topic"] == topic] == [i % 4 for i in range(sum(x[0] == topic for x in rows))]
+
+
+def test_upkeep_counters(spark):
+    from tidelog.operators import metrics
+
+    report = spark.createDataFrame([("t", 0, 5, 3, 2), ("t", 1, 9, 0, 0)], "topic string, partition int, kept long, dropped long, sealed_merged long")
+    got = {(r["metric"], r["labels"]["partition"]): r["value"] for r in metrics.upkeep(metrics.compaction(report)).collect()}
+    assert got == {("es_compaction_runs_total", "0"): 1, ("es_compaction_records_dropped_total", "0"): 3, ("es_compaction_runs_total", "1"): 0, ("es_compaction_records_dropped_total", "1"): 0}
+    gone = spark.createDataFrame([("t", 0, 4, 2, 99)], "topic string, partition int, start_offset long, segments_deleted long, bytes_reclaimed long")
+    assert {r["metric"]: r["value"] for r in metrics.upkeep(metrics.retention(gone)).collect()} == {"es_retention_segments_deleted_total": 2, "es_retention_bytes_reclaimed_total": 99}
+    read = spark.createDataFrame([("t", b"k", b"vv"), ("t", None, b"v")], "topic string, key binary, value binary")
+    assert {r["metric"]: r["value"] for r in metrics.topics(metrics.consumed(read)).collect()} == {"es_topic_records_consumed_total": 2, "es_topic_bytes_consumed_total": 4}

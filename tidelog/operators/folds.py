@@ -62,4 +62,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, ranges
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)).cast("long") - 1
-    return cut.join(F.broadcast(starts), [*keys, "_range"]).withColumn(name, rank + F.col("_start")).drop("_range", "_start")
+    return cut.join(starts, [*keys, "_range"]).withColumn(name, rank + F.col("_start")).drop("_range", "_start")

@@ -91,7 +91,8 @@ def classify_requests(records: DataFrame, order: list[str], mark: str) -> DataFr
 
 def with_offsets(classified: DataFrame, order: list[str], mark: str) -> DataFrame:
     """Adds offset and duplicate to accepted records and their duplicates; others are left out."""
-    accepted = classified.where("outcome = 'accept'").withColumn("offset", F.row_number().over(Window.partitionBy("partition").orderBy(*order)).cast("long") - 1)
+    place = [c for c in ("topic", "partition") if c in classified.columns]
+    accepted = classified.where("outcome = 'accept'").withColumn("offset", F.row_number().over(Window.partitionBy(*place).orderBy(*order)).cast("long") - 1)
     known = accepted.select(F.col(mark).alias("original"), "offset")
     repeated = classified.where("outcome = 'duplicate'").join(known, "original").select(*accepted.columns)
     return accepted.withColumn("duplicate", F.lit(False)).unionByName(repeated.withColumn("duplicate", F.lit(True)))

@@ -11,8 +11,8 @@ from .folds import numbered
 
 
 def route(records: DataFrame, partitions: int, order: list[str], start: int = 0, ranges: int | None = None) -> DataFrame:
-    """Adds partition: an explicit hint, else the key's hash, else round robin over the keyless, hintless records in order (a topic's counter begins
-    at start). A hint out of range fails the job. records: key, hint (may be missing). ranges: see numbered()."""
+    """Adds partition: an explicit hint, else the key's hash, else round robin over the keyless, hintless records of a topic in order (each topic's counter begins
+    at start; without a column topic there is one). A hint out of range fails the job. records: key, hint (may be missing). ranges: see numbered()."""
     hint = F.col("hint") if "hint" in records.columns else F.lit(None).cast("int")
     n = F.lit(partitions)
     checked = F.when((hint < 0) | (hint >= n), F.raise_error(F.lit("partition out of range")).cast("int")).otherwise(hint)
@@ -21,7 +21,7 @@ def route(records: DataFrame, partitions: int, order: list[str], start: int = 0,
     # Only the records that need the counter are ordered as one sequence.
     counted = records.withColumn("_keyless", keyless)
     keyed = counted.where(~F.col("_keyless")).withColumn("partition", direct)
-    robin = numbered(counted.where("_keyless"), ["_keyless"], order, "partition", ranges).withColumn("partition", F.pmod(F.col("partition") + start, n).cast("int"))
+    robin = numbered(counted.where("_keyless"), ["topic" if "topic" in records.columns else "_keyless"], order, "partition", ranges).withColumn("partition", F.pmod(F.col("partition") + start, n).cast("int"))
     return keyed.unionByName(robin).drop("_keyless")
 
 

@@ -37,7 +37,7 @@ def compaction_marks(rolled: DataFrame, now_ms: int, tombstone_retention_ms: int
     """Adds sealed and keep. Among sealed records of a partition with at least two segments the latest of each key stays, unless it is a tombstone past its time;
     keyless records and the active segment stay. The latest is a hash aggregate joined back by (keys, key, offset): a partial aggregate runs before the shuffle, so a hot key moves few rows."""
     edge = rolled.groupBy(*keys).agg(F.max("segment_base").alias("_active"))
-    marked = rolled.join(F.broadcast(edge), list(keys)).withColumn("sealed", F.col("segment_base") < F.col("_active")).drop("_active")
+    marked = rolled.join(edge, list(keys)).withColumn("sealed", F.col("segment_base") < F.col("_active")).drop("_active")
     keyed = marked.where("sealed and key is not null")
     latest = keyed.groupBy(*keys, "key").agg(F.max(F.struct("offset", "timestamp_ms", core.is_tombstone(F.col("value")).alias("dead"))).alias("l"))
     expired = F.col("l.dead") & (F.col("l.timestamp_ms") < now_ms - tombstone_retention_ms)
@@ -59,7 +59,7 @@ def compact(rolled: DataFrame, now_ms: int, tombstone_retention_ms: int, keys: t
     """The log after a pass: what stays, sealed records in one segment at the lowest base. A partition in which nothing is dropped is left as it was."""
     marks = compaction_marks(rolled, now_ms, tombstone_retention_ms, keys)
     of = marks.groupBy(*keys).agg(F.min("segment_base").alias("_lowest"), (F.count_if(~F.col("keep")) > 0).alias("_changed"))
-    joined = marks.where("keep").join(F.broadcast(of), list(keys))
+    joined = marks.where("keep").join(of, list(keys))
     base = F.when(F.col("sealed") & F.col("_changed"), F.col("_lowest")).otherwise(F.col("segment_base"))
     return joined.withColumn("segment_base", base).drop("sealed", "keep", "_lowest", "_changed")
 

@@ -23,11 +23,32 @@ def partitions(described: DataFrame) -> DataFrame:
 
 
 def topics(counters: DataFrame) -> DataFrame:
-    """counters: topic and the eight counters, each named as its series without es_ and _total."""
-    names = ["topic_records_produced", "topic_bytes_produced", "topic_records_consumed", "topic_bytes_consumed", "retention_segments_deleted", "retention_bytes_reclaimed", "compaction_runs", "compaction_records_dropped"]
+    """counters: topic and any of the four counters of its traffic, each named as its series without es_ and _total."""
+    names = ["topic_records_produced", "topic_bytes_produced", "topic_records_consumed", "topic_bytes_consumed"]
     return _long(counters, ["topic"], {f"es_{n}_total": n for n in names if n in counters.columns})
 
 
+def upkeep(counters: DataFrame) -> DataFrame:
+    """counters: topic, partition and any of the four counters of maintenance passes, each named as its series without es_ and _total."""
+    names = ["retention_segments_deleted", "retention_bytes_reclaimed", "compaction_runs", "compaction_records_dropped"]
+    return _long(counters, ["topic", "partition"], {f"es_{n}_total": n for n in names if n in counters.columns})
+
+
+def consumed(records: DataFrame) -> DataFrame:
+    """Counters of the records (topic, key, value) that reads returned."""
+    return records.groupBy("topic").agg(F.count("*").alias("topic_records_consumed"), F.sum(core.payload_bytes(F.col("key"), F.col("value"))).cast("long").alias("topic_bytes_consumed"))
+
+
+def retention(report: DataFrame) -> DataFrame:
+    """Counters of a retention pass from its report."""
+    return report.select("topic", "partition", F.col("segments_deleted").alias("retention_segments_deleted"), F.col("bytes_reclaimed").alias("retention_bytes_reclaimed"))
+
+
+def compaction(report: DataFrame) -> DataFrame:
+    """Counters of a compaction pass from its report; a pass that drops nothing changes nothing and counts as no run."""
+    return report.select("topic", "partition", (F.col("dropped") > 0).cast("long").alias("compaction_runs"), F.col("dropped").alias("compaction_records_dropped"))
+
+
 def groups(lag: DataFrame) -> DataFrame:
     """lag: group, topic, partition, offset, lag."""
     return _long(lag, ["group", "topic", "partition"], {"es_group_committed_offset": "offset", "es_group_lag": "lag"})
