@@ -5,6 +5,10 @@ near_dups  one document (the smallest doc_id) of each group of near duplicates (
 benchmark  documents into which a benchmark item leaks go
 secrets    spans of secrets are replaced by their kind in brackets; the documents stay
 bpe        token ids of every document that is left
+
+Defined results: null and empty texts pass through all stages like any others (the classifier scores them, they have no near duplicates, leaks or secrets,
+and no ids); rows without doc_id are no near duplicates and no leaks; of repeated rows of one doc_id all stay or go together; an empty table gives no rows; further columns
+are kept up to the last stage.
 """
 
 from __future__ import annotations
