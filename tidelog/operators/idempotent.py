@@ -7,7 +7,7 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import PRODUCER_IDLE_MS, PRODUCER_WINDOW
+from ..model import MAX_PRODUCERS_PER_KEY, PRODUCER_IDLE_MS, PRODUCER_WINDOW
 from .folds import ordered_fold
 
 
@@ -54,70 +54,152 @@ def judge_request(windows: dict, rows: list[tuple[tuple, int, object]]) -> list[
     return out
 
 
-def classify(records: DataFrame, order: list[str], mark: str) -> DataFrame:
-    """Adds outcome (accept, duplicate, gap, too_low) and original (mark of the accepted record that a duplicate repeats) to single-record requests
-    (producer_id, partition, sequence). mark: a bigint column that names a record."""
+def _places(columns: list[str]) -> list[str]:
+    """What a window belongs to within a producer: the topic, where records have one, and the partition."""
+    return [c for c in ("topic", "partition") if c in columns]
 
-    def start() -> SequenceWindow:
-        return SequenceWindow()
 
-    def step(window: SequenceWindow, row: tuple[int, int]) -> tuple[str, int | None]:
-        seq, own = row
-        verdict, original = window.judge(seq)
+#: What a window keeps of a sequence: the mark of a record of this run, or the offset that a former run stored.
+_OUTCOME = "outcome string, original bigint, known_offset bigint"
+
+
+def _found(what: tuple[int | None, int | None] | None) -> tuple[int | None, int | None]:
+    return what or (None, None)
+
+
+def _window(last: int, last_offset: int | None, recent: list[dict] | None) -> SequenceWindow:
+    return SequenceWindow(last, [(r["seq"], (None, r["offset"])) for r in recent or []] or [(last, (None, last_offset))])
+
+
+def classify(records: DataFrame, order: list[str], mark: str, state: DataFrame | None = None) -> DataFrame:
+    """Adds outcome (accept, duplicate, gap, too_low), original (mark of the accepted record that a duplicate repeats) and known_offset (its offset, where a former run
+    stored it) to single-record requests (producer_id, topic if there is one, partition, sequence). mark: a bigint column that names a record. state: the table of
+    producer_state(); its windows go on, and a producer that isn't in it starts anew. A window is a row ahead of the records of its place, so it is never joined to each of them."""
+    places = _places(records.columns)
+    held = "struct<last_seen:bigint,last_offset:bigint,recent:array<struct<seq:bigint,offset:bigint>>>"
+    rows = records.withColumn("_state", F.lit(None).cast(held))
+    if state is not None:
+        windows = state.select("producer_id", *places, F.struct("last_seen", "last_offset", "recent").cast(held).alias("_state"))
+        rows = rows.unionByName(windows, allowMissingColumns=True)
+
+    def start() -> list:
+        return [SequenceWindow()]
+
+    def step(at: list[SequenceWindow], row: tuple) -> tuple[str | None, int | None, int | None]:
+        seq, own, stored = row
+        if stored is not None:
+            at[0] = _window(stored["last_seen"], stored["last_offset"], stored["recent"])
+            return None, None, None
+        verdict, what = at[0].judge(seq)
         if verdict == "accept":
-            window.accept(seq, own)
-        return verdict, original
+            at[0].accept(seq, (own, None))
+        return verdict, *_found(what)
 
-    return ordered_fold(records, ["producer_id", "partition"], order, ["sequence", mark], start, step, "outcome string, original bigint")
+    # Nulls sort first, so the flag is what puts the window ahead.
+    flagged = rows.withColumn("_later", F.col("_state").isNull())
+    judged = ordered_fold(flagged, ["producer_id", *places], ["_later", *order], ["sequence", mark, "_state"], start, step, _OUTCOME)
+    return judged.where("_later").drop("_state", "_later")
 
 
-def classify_requests(records: DataFrame, order: list[str], mark: str) -> DataFrame:
+def classify_requests(records: DataFrame, order: list[str], mark: str, state: DataFrame | None = None) -> DataFrame:
     """As classify(), for requests (request_id) of several records; a request's rows are gathered, so its size bounds the memory. Groups are producers, as a
-    rejected request may span partitions."""
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)], "partition", "sequence", F.col(mark).alias("mark"))))
+    rejected request may span partitions. The windows of a producer's places are one row ahead of its requests."""
+    places = _places(records.columns)
+    where = F.struct(*[F.col(c) for c in places])
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)], where.alias("place"), "sequence", F.col(mark).alias("mark"))))
     requests = records.groupBy("producer_id", "request_id").agg(ordered.alias("rows")).withColumn("first", F.col("rows")[0]["_by0"])
+    kinds = ",".join(f"{c}:{records.schema[c].dataType.simpleString()}" for c in places)
+    held = f"array<struct<place:struct<{kinds}>,last_seen:bigint,last_offset:bigint,recent:array<struct<seq:bigint,offset:bigint>>>>"
+    rows = requests.withColumn("_state", F.lit(None).cast(held))
+    if state is not None:
+        windows = state.groupBy("producer_id").agg(F.collect_list(F.struct(where.alias("place"), "last_seen", "last_offset", "recent")).cast(held).alias("_state"))
+        rows = rows.unionByName(windows, allowMissingColumns=True)
 
     def start() -> dict:
         return {}
 
-    def step(windows: dict, row: tuple[list[dict]]) -> tuple[list[dict]]:
-        rows = [(r["partition"], r["sequence"], r["mark"]) for r in row[0]]
-        return ([{"mark": m, "outcome": v, "original": o} for (_, _, m), (v, o) in zip(rows, judge_request(windows, rows))],)
-
-    judged = ordered_fold(requests, ["producer_id"], ["first", "request_id"], ["rows"], start, step, "judged array<struct<mark:bigint,outcome:string,original:bigint>>")
-    verdicts = judged.select(F.explode("judged").alias("j")).select(F.col("j.mark").alias(mark), "j.outcome", "j.original")
+    def step(windows: dict, row: tuple) -> tuple[list[dict] | None]:
+        asked, stored = row
+        if stored is not None:
+            windows.update({tuple(w["place"].values()): _window(w["last_seen"], w["last_offset"], w["recent"]) for w in stored})
+            return (None,)
+        rows = [(tuple(r["place"].values()), r["sequence"], (r["mark"], None)) for r in asked]
+        out = []
+        for (_, _, (own, _)), (verdict, what) in zip(rows, judge_request(windows, rows)):
+            original, offset = _found(what)
+            out.append({"mark": own, "outcome": verdict, "original": original, "known_offset": offset})
+        return (out,)
+
+    flagged = rows.withColumn("_later", F.col("_state").isNull())
+    added = "judged array<struct<mark:bigint,outcome:string,original:bigint,known_offset:bigint>>"
+    judged = ordered_fold(flagged, ["producer_id"], ["_later", "first", "request_id"], ["rows", "_state"], start, step, added)
+    verdicts = judged.where("_later").select(F.explode("judged").alias("j")).select(F.col("j.mark").alias(mark), "j.outcome", "j.original", "j.known_offset")
     return records.join(verdicts, mark)
 
 
-def with_offsets(classified: DataFrame, order: list[str], mark: str) -> DataFrame:
-    """Adds offset and duplicate to accepted records and their duplicates; others are left out."""
-    place = [c for c in ("topic", "partition") if c in classified.columns]
+def with_offsets(classified: DataFrame, order: list[str], mark: str, next_offsets: DataFrame | None = None) -> DataFrame:
+    """Adds offset and duplicate to accepted records and their duplicates; others are left out. next_offsets: (topic if there is one, partition, next_offset)."""
+    place = _places(classified.columns)
     accepted = classified.where("outcome = 'accept'").withColumn("offset", F.row_number().over(Window.partitionBy(*place).orderBy(*order)).cast("long") - 1)
+    if next_offsets is not None:
+        accepted = accepted.join(next_offsets, place, "left").withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0).cast("long"))).drop("next_offset")
     known = accepted.select(F.col(mark).alias("original"), "offset")
-    repeated = classified.where("outcome = 'duplicate'").join(known, "original").select(*accepted.columns)
-    return accepted.withColumn("duplicate", F.lit(False)).unionByName(repeated.withColumn("duplicate", F.lit(True)))
-
-
-def producer_state(with_offset: DataFrame) -> DataFrame:
-    """The newest state of each (producer, partition) from accepted records (offset, sequence, timestamp_ms): the window is bounded, so it is gathered from the newest rows only."""
-    w = Window.partitionBy("producer_id", "partition").orderBy(F.desc("offset"))
-    newest = with_offset.where("not duplicate").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= PRODUCER_WINDOW)
-    return newest.groupBy("producer_id", "partition").agg(
-        F.max("sequence").alias("last_seen"),
-        F.max_by("offset", "sequence").alias("last_offset"),
-        F.array_sort(F.collect_list(F.struct(F.col("sequence").alias("seq"), "offset"))).alias("recent"),
-        F.max("timestamp_ms").alias("last_used_ms"),
-    )
+    again = classified.where("outcome = 'duplicate'")
+    repeated = again.where("original is not null").join(known, "original").select(*accepted.columns)
+    former = again.where("known_offset is not null").withColumn("offset", F.col("known_offset")).select(*accepted.columns)
+    return accepted.withColumn("duplicate", F.lit(False)).unionByName(repeated.unionByName(former).withColumn("duplicate", F.lit(True)))
+
+
+def producer_state(with_offset: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """The newest state of each (producer, topic if there is one, partition) from records with offset, sequence and timestamp_ms, and from the state before them; the window
+    is bounded, so it is gathered from the newest rows only. Duplicates count as use."""
+    places = ["producer_id", *_places(with_offset.columns)]
+    new = with_offset.select(*places, F.col("sequence").alias("seq"), "offset", F.col("timestamp_ms").alias("used"), F.col("duplicate").alias("_again"))
+    if previous is not None:
+        stored = F.when(F.size("recent") > 0, F.col("recent")).otherwise(F.array(F.struct(F.col("last_seen").alias("seq"), F.col("last_offset").alias("offset"))))
+        old = previous.select(*places, F.col("last_used_ms").alias("used"), F.explode(stored).alias("r"))
+        new = new.unionByName(old.select(*places, "r.seq", "r.offset", "used", F.lit(False).alias("_again")))
+    used = new.groupBy(*places).agg(F.max("used").alias("last_used_ms"))
+    newest = new.where("not _again").withColumn("_r", F.row_number().over(Window.partitionBy(*places).orderBy(F.desc("offset")))).where(F.col("_r") <= PRODUCER_WINDOW)
+    windows = newest.groupBy(*places).agg(F.max("seq").alias("last_seen"), F.max_by("offset", "seq").alias("last_offset"), F.array_sort(F.collect_list(F.struct("seq", "offset"))).alias("recent"))
+    return windows.join(used, places)
 
 
 def expire(state: DataFrame, now_ms: int, idle_ms: int = PRODUCER_IDLE_MS) -> DataFrame:
-    return state.where(F.col("last_used_ms") >= now_ms - idle_ms)
+    """Forgets producers that used none of their places for longer than idle_ms."""
+    return state.withColumn("_used", F.max("last_used_ms").over(Window.partitionBy("producer_id"))).where(F.col("_used") >= now_ms - idle_ms).drop("_used")
 
 
 def revoke(state: DataFrame, producer_id: str) -> DataFrame:
-    """Forgets a producer: any sequence is accepted next."""
+    """Forgets a producer: classify() with what is left accepts any sequence of it next."""
     return state.where(F.col("producer_id") != producer_id)
 
 
+def purge_topic(state: DataFrame, topic: str) -> DataFrame:
+    """Forgets the windows of a removed topic, so one created anew under its name starts without them."""
+    return state.where(F.col("topic") != topic)
+
+
+def per_owner(owners: DataFrame) -> DataFrame:
+    """Producers of each owner, from (producer_id, owner)."""
+    return owners.groupBy("owner").agg(F.count_distinct("producer_id").alias("producers"))
+
+
+def admit(requests: DataFrame, owners: DataFrame, order: list[str], most: int = MAX_PRODUCERS_PER_KEY) -> DataFrame:
+    """Adds error to requests (producer_id, key_id, may_claim): a producer belongs to the first key that may claim it, and is unavailable to others, as is an unclaimed one
+    to a key that may not; a key that owns most producers gets no further one (producer_limit). owners: (producer_id, owner) before the requests."""
+    fresh = requests.where("may_claim").join(owners, "producer_id", "left_anti")
+    first = fresh.groupBy("producer_id").agg(F.min(F.struct(*order, "key_id")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("f.key_id").orderBy("f"))
+    held = per_owner(owners).select(F.col("owner").alias("key_id"), F.col("producers"))
+    claims = first.select("producer_id", F.col("f.key_id").alias("key_id"), rank.alias("_rank")).join(held, "key_id", "left")
+    claims = claims.select("producer_id", F.col("key_id").alias("owner"), (F.col("_rank") + F.coalesce("producers", F.lit(0)) > most).alias("_over"))
+    known = owners.select("producer_id", "owner", F.lit(False).alias("_over")).unionByName(claims)
+    mine = F.col("owner") == F.col("key_id")
+    error = F.when(F.col("owner").isNull() | ~mine, "unavailable").when(F.col("_over"), "producer_limit")
+    return requests.join(known, "producer_id", "left").withColumn("error", error).drop("owner", "_over")
+
+
 def listing(state: DataFrame) -> DataFrame:
-    return state.select("producer_id", "partition", "last_seen", "last_offset").orderBy("producer_id", "partition")
+    places = ["producer_id", *_places(state.columns)]
+    return state.select(*places, "last_seen", "last_offset").orderBy(*places)

@@ -34,7 +34,7 @@ def create(keys: DataFrame, name: str, acls: list[tuple[str, str]], now_ms: int,
     check_key(name, acls)
     secret = secret or SECRET_PREFIX + secrets.token_urlsafe(32)
     digest = hashlib.sha256(secret.encode()).hexdigest()
-    key_id = f"key_{digest[:12]}"
+    key_id = "key_" + secrets.token_hex(8)  # Says nothing of the secret.
     row = (key_id, name, digest, [tuple(a) for a in acls], produce_bps, consume_bps, now_ms, False)
     return keys.unionByName(keys.sparkSession.createDataFrame([row], model.API_KEYS)), key_id, secret
 

@@ -35,15 +35,14 @@ def apply_retention(rolled: DataFrame, planned: DataFrame, keys: tuple[str, ...]
 
 def compaction_marks(rolled: DataFrame, now_ms: int, tombstone_retention_ms: int, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
     """Adds sealed and keep. Among sealed records of a partition with at least two segments the latest of each key stays, unless it is a tombstone past its time;
-    keyless records and the active segment stay. The latest is a hash aggregate joined back by (keys, key, offset): a partial aggregate runs before the shuffle, so a hot key moves few rows."""
-    edge = rolled.groupBy(*keys).agg(F.max("segment_base").alias("_active"))
-    marked = rolled.join(edge, list(keys)).withColumn("sealed", F.col("segment_base") < F.col("_active")).drop("_active")
-    keyed = marked.where("sealed and key is not null")
-    latest = keyed.groupBy(*keys, "key").agg(F.max(F.struct("offset", "timestamp_ms", core.is_tombstone(F.col("value")).alias("dead"))).alias("l"))
-    expired = F.col("l.dead") & (F.col("l.timestamp_ms") < now_ms - tombstone_retention_ms)
-    live = latest.where(~expired).select(*keys, F.col("l.offset").alias("offset"), F.lit(True).alias("_live"))
-    joined = marked.join(live, [*keys, "offset"], "left")
-    return joined.withColumn("keep", ~F.col("sealed") | F.col("key").isNull() | F.coalesce("_live", F.lit(False))).drop("_live")
+    keyless records and the active segment stay. The active base and the latest of each key are windows, and rows clustered by keys are clustered by (keys, key) as well, so
+    the rolled log is read once and moves once; the work is by partition, as the roll is."""
+    place = Window.partitionBy(*keys)
+    marked = rolled.withColumn("sealed", F.col("segment_base") < F.max("segment_base").over(place))
+    last = F.max(F.when(F.col("sealed"), F.col("offset"))).over(Window.partitionBy(*keys, "key"))
+    expired = core.is_tombstone(F.col("value")) & (F.col("timestamp_ms") < now_ms - tombstone_retention_ms)
+    latest = (F.col("offset") == last) & ~F.coalesce(expired, F.lit(False))
+    return marked.withColumn("keep", ~F.col("sealed") | F.col("key").isNull() | latest)
 
 
 def compaction_report(marks: DataFrame, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
@@ -57,21 +56,36 @@ def compaction_report(marks: DataFrame, keys: tuple[str, ...] = ("partition",))
 
 def compact(rolled: DataFrame, now_ms: int, tombstone_retention_ms: int, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
     """The log after a pass: what stays, sealed records in one segment at the lowest base. A partition in which nothing is dropped is left as it was."""
+    place = Window.partitionBy(*keys)
     marks = compaction_marks(rolled, now_ms, tombstone_retention_ms, keys)
-    of = marks.groupBy(*keys).agg(F.min("segment_base").alias("_lowest"), (F.count_if(~F.col("keep")) > 0).alias("_changed"))
-    joined = marks.where("keep").join(of, list(keys))
+    told = marks.withColumn("_lowest", F.min("segment_base").over(place)).withColumn("_changed", F.max(~F.col("keep")).over(place))
     base = F.when(F.col("sealed") & F.col("_changed"), F.col("_lowest")).otherwise(F.col("segment_base"))
-    return joined.withColumn("segment_base", base).drop("sealed", "keep", "_lowest", "_changed")
+    return told.where("keep").withColumn("segment_base", base).drop("sealed", "keep", "_lowest", "_changed")
+
+
+def retained(rolled: DataFrame, now_ms: int, retention_ms: int | None = None, retention_bytes: int | None = None, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
+    """The records that retention_plan() over the same log would leave, by windows over its rows: the log is read once, and a plan isn't joined back to it."""
+    place = Window.partitionBy(*keys)
+    base, order = F.col("segment_base"), place.orderBy("segment_base")
+    told = rolled.withColumn("_active", base == F.max("segment_base").over(place))
+    dead = F.lit(False)
+    if retention_ms is not None:
+        told = told.withColumn("_newest", F.max("timestamp_ms").over(Window.partitionBy(*keys, "segment_base")))
+        dead = F.coalesce(F.col("_newest") < now_ms - retention_ms, F.lit(False))
+    if retention_bytes is not None:
+        before = F.coalesce(F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        told = told.withColumn("_before", before).withColumn("_over", F.sum("size").over(place) - retention_bytes)
+        dead = dead | ((F.col("_over") > 0) & (F.col("_before") < F.col("_over")))
+    # The active segment is one, so a partition with a victim has two segments at least.
+    return told.where(F.col("_active") | ~dead).select(*rolled.columns)
 
 
 def run_policy(rolled: DataFrame, policy: str, now_ms: int, retention_ms: int | None, retention_bytes: int | None, tombstone_retention_ms: int, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
     """One maintenance pass of a topic. Retention is skipped when both limits are unset."""
-    from .segments import stats
-
     if "compact" in policy:
         rolled = compact(rolled, now_ms, tombstone_retention_ms, keys)
     if "delete" in policy and (retention_ms is not None or retention_bytes is not None):
-        rolled = apply_retention(rolled, retention_plan(stats(rolled, keys), now_ms, retention_ms, retention_bytes, keys), keys)
+        rolled = retained(rolled, now_ms, retention_ms, retention_bytes, keys)
     return rolled
 
 

@@ -23,13 +23,14 @@ def produce(
     can_write: Column | None = None,
     exists: Column | None = None,
     tokens_ok: Column | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """The answer for every record of a topic: its columns with partition, offset, duplicate and error.
 
     records: request_id, producer_id, sequence, key, value, hint, the order columns and mark, a bigint that names a record. A request with any invalid record is
     refused whole, with partition, offset and duplicate null; so is one with a gap or a low sequence, whose records keep their own verdict as the error. Only accepted
     records are numbered; a duplicate has the offset of what it repeats. Routing precedes the judging of sequences, so a keyless retry may meet another partition.
-    The three columns of conditions default to true.
+    The three columns of conditions default to true. state: the producers' windows before (producer_state()), which go on.
     """
     true, columns = F.lit(True), records.columns
     given = [true if c is None else c for c in (can_write, exists, tokens_ok)]
@@ -42,11 +43,14 @@ def produce(
     refused = records.join(failed, "request_id").select(*columns, F.lit(None).cast("int").alias("partition"), "error")
 
     routed = log.route(records.join(failed, "request_id", "left_anti").select(*columns), partitions, order, start, ranges)
-    plain = routed.where("producer_id is null").withColumn("outcome", F.lit("accept")).withColumn("original", F.lit(None).cast("long"))
-    judged = plain.unionByName(classify_requests(routed.where("producer_id is not null"), order, mark))
+    nothing = F.lit(None).cast("long")
+    plain = routed.where("producer_id is null").withColumn("outcome", F.lit("accept")).withColumn("original", nothing).withColumn("known_offset", nothing)
+    judged = plain.unionByName(classify_requests(routed.where("producer_id is not null"), order, mark, state))
     accepted = log.assign_offsets(judged.where("outcome = 'accept'"), order, next_offsets, ranges=ranges)
     stored = accepted.select(F.col(mark).alias("original"), "offset")
-    repeated = judged.where("outcome = 'duplicate'").join(stored, "original").select(*accepted.columns)
+    again = judged.where("outcome = 'duplicate'")
+    former = again.where("known_offset is not null").withColumn("offset", F.col("known_offset")).select(*accepted.columns)
+    repeated = again.where("original is not null").join(stored, "original").select(*accepted.columns).unionByName(former)
     answer = [*columns, "partition", "offset", "duplicate", "error"]
     none = F.lit(None).cast("string")
     taken = accepted.withColumn("duplicate", F.lit(False)).unionByName(repeated.withColumn("duplicate", F.lit(True))).withColumn("error", none).select(*answer)
