@@ -6,6 +6,7 @@ import decimal
 import duckdb
 import pytest
 
+from tidelog.plans import control  # noqa: F401
 from tidelog.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def plain(x):
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("events", "orders", "conversations"):
+    for t in ("events", "orders", "conversations", "customer", "nation", "region"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

@@ -74,21 +74,52 @@ def produce_quota(requests: DataFrame, rates: DataFrame) -> DataFrame:
     return ordered_fold(joined, ["key_id"], ["t_ms", "seq"], ["t_ms", "bytes", "rate"], start, step, "granted boolean, tokens double, retry_s double")
 
 
+def consume_quota(reads: DataFrame, rates: DataFrame) -> DataFrame:
+    """reads (key_id, t_ms, seq, want, first_bytes, page_bytes) with granted, used and refused: a read reserves what the bucket has of want, takes its page up to that, and
+    settles. In debt it is refused (granted and used null); a first record larger than the grant is taken from a full bucket only and leaves a debt, else the read is refused and costs
+    nothing. first_bytes is the size of the first record of the page, page_bytes that of the whole page. A rate of 0 or null is no limit. Reads of a key follow each other."""
+    from .folds import ordered_fold
+
+    def start() -> list:
+        return [None]
+
+    def step(state: list, row: tuple) -> tuple[int | None, int | None, bool]:
+        t, want, first, page, rate = row
+        if not rate:
+            return want, max(first, min(want, page)), False
+        if state[0] is None:
+            state[0] = ConsumeBucket(float(rate), t, 1000.0)
+        bucket = state[0]
+        bucket.refill(t)
+        full = bucket.tokens >= bucket.rate
+        granted = bucket.reserve(want, t)
+        if granted is None:
+            return None, None, True
+        refused = first > granted and not full
+        used = 0 if refused else first if first > granted else min(granted, max(page, first))
+        bucket.settle(granted, used)
+        return granted, used, refused
+
+    joined = reads.join(rates, "key_id", "left")
+    return ordered_fold(joined, ["key_id"], ["t_ms", "seq"], ["t_ms", "want", "first_bytes", "page_bytes", "rate"], start, step, "granted bigint, used bigint, refused boolean")
+
+
 class ConsumeBucket:
     """Consume quota: a read reserves what it may, then settles what it took; debt blocks the next read, and a first record larger than the bucket needs it full."""
 
-    def __init__(self, rate: float, now_s: float = 0.0):
-        self.rate, self.tokens, self.at = rate, rate, now_s
+    def __init__(self, rate: float, now: float = 0.0, second: float = 1.0):
+        """second: how many units of time are one."""
+        self.rate, self.tokens, self.at, self.second = rate, rate, now, second
 
-    def refill(self, now_s: float) -> None:
-        self.tokens = min(self.rate, self.tokens + (now_s - self.at) * self.rate)
-        self.at = now_s
+    def refill(self, now: float) -> None:
+        self.tokens = min(self.rate, self.tokens + (now - self.at) / self.second * self.rate)
+        self.at = now
 
-    def reserve(self, want: int, now_s: float) -> int | None:
+    def reserve(self, want: int, now: float) -> int | None:
         """Bytes that may be read, or None where the reader must wait."""
         if not self.rate:
             return want
-        self.refill(now_s)
+        self.refill(now)
         if self.tokens <= 0:
             return None
         got = min(want, int(self.tokens)) or 1
@@ -98,4 +129,4 @@ class ConsumeBucket:
     def settle(self, reserved: int, took: int) -> None:
         """Gives back what wasn't used; a larger record leaves a debt."""
         if self.rate:
-            self.tokens += reserved - took
+            self.tokens = min(self.rate, self.tokens + reserved - took)

@@ -35,6 +35,20 @@ def next_offset(page: DataFrame, target: int, high_watermark: int) -> int:
     return last + 1 if last is not None else high_watermark
 
 
+def seek(targets: DataFrame, log: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
+    """For each target (keys, target) first_offset, the record that a read of one record gives, and next_offset, where the next read goes on: behind that record, at the end where
+    no record is left (the rest is a gap), or at the target where it lies at or beyond the end. Compaction leaves gaps, so the first record is an as-of lookup upwards: one union and one window.
+    ends: (keys, start_offset, end_offset); targets below the start are raised to it."""
+    asked = targets.join(ends.select(*keys, "start_offset", "end_offset"), list(keys)).withColumn("_at", F.greatest("target", "start_offset"))
+    none = F.lit(None).cast("long")
+    stored = log.select(*keys, F.col("offset").alias("_at"), F.col("offset").alias("_offset"), none.alias("target"), none.alias("end_offset"))
+    both = stored.unionByName(asked.select(*keys, "_at", none.alias("_offset"), "target", "end_offset"))
+    upwards = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_offset").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("first_offset", F.last("_offset", ignorenulls=True).over(upwards)).where("target is not null")
+    goes_on = F.when(F.col("target") >= F.col("end_offset"), F.col("target")).otherwise(F.coalesce(F.col("first_offset") + 1, F.greatest("_at", "end_offset")))
+    return found.withColumn("next_offset", goes_on).select(*keys, "target", "first_offset", "next_offset")
+
+
 def pages(rolled: DataFrame, max_records: int, max_bytes: int, keys: tuple[str, ...] = ("partition",)) -> DataFrame:
     """All pages a consumer sees that reads each partition from its start: rows (keys, page, first_offset, next_offset, records, bytes)."""
     max_records, max_bytes = clamp(max_records, model.FETCH_RECORDS_MAX), clamp(max_bytes, model.FETCH_BYTES_MAX)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
+from ..model import MAX_GROUP_ENTRIES
 
 PLACE = ["group", "topic", "partition"]
 
@@ -33,6 +34,20 @@ def counts(commits: DataFrame) -> DataFrame:
     return latest_commits(commits).groupBy("group").agg(F.count("*").alias("entries"))
 
 
+def running_counts(commits: DataFrame, most: int = MAX_GROUP_ENTRIES) -> DataFrame:
+    """Groups by name with their entries, the entries up to and with each, and whether those pass the limit. One row a group (100,000 at most), so one window holds them."""
+    total = F.sum("entries").over(Window.orderBy("group")).cast("long")
+    return counts(commits).withColumn("total", total).withColumn("over", F.col("total") > most)
+
+
+def offsets(commits: DataFrame, acls: DataFrame, key_id: str, group: str | None = None) -> DataFrame:
+    """The committed offsets, of one group where given, on topics that the key may read; others look absent."""
+    from .auth import visible
+
+    mine = latest_commits(commits if group is None else commits.where(F.col("group") == group))
+    return visible(mine.withColumn("name", F.col("topic")), acls, key_id).drop("name")
+
+
 def claim_error(groups: DataFrame) -> DataFrame:
     """Adds error to requests (name, key_id, is_admin, owner, folded_owner): a group belongs to its first user; a foreign one is refused like an absent one, and so
     is a name that differs from an existing one in case only (exists_as)."""

@@ -31,6 +31,14 @@ def latest(registry: DataFrame) -> DataFrame:
     return registry.groupBy("subject").agg(F.max("id").alias("id"), F.max_by("type", "id").alias("type"), F.max_by("schema", "id").alias("schema"))
 
 
+def by_id(registry: DataFrame, id_: int) -> DataFrame:
+    return registry.where(F.col("id") == id_)
+
+
+def listing(registry: DataFrame) -> DataFrame:
+    return registry.orderBy("id")
+
+
 def readable(registry: DataFrame, acls: DataFrame, key_id: str) -> DataFrame:
     """Schemas whose subject's topic the key may read; others look absent."""
     from .auth import visible
