@@ -70,26 +70,29 @@ def _slots_in(tokens: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, least: int = 1) -> DataFrame:
-    """Rows (item_id, variant, size, place, literal, h, slots) of the windows; a variant is one of the texts of an item_id. literal: the window matches as it stands only. Items have at least so many tokens."""
+    """Rows (item_id, variant, size, place, literal, h, slots, n_windows, n_templates) of the windows; a variant is one of the texts of an item_id. literal: the window matches as it stands
+    only. n_windows and n_templates count the windows of the item, and those that match as templates. Items have at least so many tokens."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).distinct().withColumn("variant", F.xxhash64("t"))
     items = items.withColumn("tokens", template_tokens(F.col("t"))).withColumn("raw", raw_tokens(F.col("t"))).where(F.size("tokens") >= least)
-    sizes = [
-        items.where(F.size("tokens") >= WINDOW if size == WINDOW else F.size("tokens") == size).select("item_id", "variant", "tokens", "raw", F.lit(size).alias("size"), F.posexplode(windows(F.col("tokens"), size)).alias("place", "h"))
-        for size in range(max(1, least), WINDOW + 1)
-    ]
-    found = sizes[0]
-    for more in sizes[1:]:
-        found = found.unionAll(more)
-    window = lambda tokens: F.slice(tokens, F.col("place") + 1, F.col("size"))
-    found = found.withColumn("literal", (2 * _slots_in(window("tokens")) > F.col("size")) | (F.col("size") < LEAST)).withColumn("h", F.when(F.col("literal"), F.xxhash64(window("raw"))).otherwise(F.col("h")))
+    # An item has windows of one size: WINDOW, or all its tokens if they are fewer. Its windows stay together until they are counted.
+    items = items.where(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
+
+    def window(at: Column) -> Column:
+        tokens, raw = F.slice("tokens", at + 1, F.col("size")), F.slice("raw", at + 1, F.col("size"))
+        literal = (2 * _slots_in(tokens) > F.col("size")) | (F.col("size") < LEAST)
+        return F.struct(at.alias("place"), literal.alias("literal"), F.when(literal, F.xxhash64(raw)).otherwise(F.xxhash64(tokens)).alias("h"))
+
+    items = items.withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("tokens") - F.col("size")), window))
+    items = items.withColumn("n_windows", F.size("windows").cast("long")).withColumn("n_templates", F.size(F.filter("windows", lambda w: ~w["literal"])).cast("long"))
+    found = items.select("item_id", "variant", "tokens", "raw", "size", "n_windows", "n_templates", F.inline("windows"))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("place") + i).alias("at"), F.element_at("tokens", F.col("place") + i + 1).alias("kind"), F.element_at("raw", F.col("place") + i + 1).alias("value"))), lambda s: s["kind"].contains("\u0001"))
     # What matches as it stands has no fillings to compare.
     slots = F.when(F.col("literal"), F.slice(slots, 1, 0)).otherwise(slots)
-    return found.select("item_id", "variant", "size", "place", "literal", "h", slots.alias("slots"))
+    return found.select("item_id", "variant", "size", "place", "literal", "h", slots.alias("slots"), "n_windows", "n_templates")
 
 
 def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[tuple[bool, int]], near) -> DataFrame:
-    """Rows (doc_id, item_id, variant, at, place, literal, slots), one for each place at of a document (doc_id, tokens, raw) where an item's window occurs."""
+    """Rows (doc_id, item_id, variant, at, place, literal, slots, n_windows, n_templates), one for each place at of a document (doc_id, tokens, raw) where an item's window occurs."""
 
     def sized(literal: bool, size: int) -> Column:
         hashes = F.transform(windows(F.col("raw" if literal else "tokens"), size), lambda h, i: F.struct(F.lit(literal).alias("literal"), F.lit(size).alias("size"), i.alias("at"), h.alias("h")))
@@ -101,46 +104,50 @@ def _hits(tokens: DataFrame, bench: DataFrame, sizes: list[tuple[bool, int]], ne
     # One expression over all sizes in use, so each text is tokenised once.
     hashes = F.concat(*[sized(*s) for s in sizes]) if sizes else F.array().cast("array<struct<literal:boolean,size:int,at:int,h:bigint>>")
     opened = tokens.select("doc_id", F.explode(hashes).alias("w")).select("doc_id", "w.literal", "w.size", "w.at", "w.h")
-    return opened.join(near(bench), ["literal", "size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "literal", "slots")
+    return opened.join(near(bench), ["literal", "size", "h"]).select("doc_id", "item_id", "variant", "at", "place", "literal", "slots", "n_windows", "n_templates")
+
+
+#: What a hit says besides its copy and place.
+HIT = ["at", "literal", "slots", "n_windows", "n_templates"]
 
 
-def _cover(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+def _cover(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, slots, cover) with COVER at least: the share of an item's windows, or of its templates alone if that is more; slots is the most in a window."""
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col("literal")).alias("t"), F.max("slots").alias("slots"))
-    return n.join(totals, ["item_id", "variant"]).withColumn("cover", F.greatest(F.col("n") / F.col("n_windows"), F.try_divide("t", "n_templates"))).where(F.col("cover") >= COVER).select(*keys, "slots", "cover")
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col("literal")).alias("t"), F.max("slots").alias("slots"), F.max("n_windows").alias("n_windows"), F.max("n_templates").alias("n_templates"))
+    return n.withColumn("cover", F.greatest(F.col("n") / F.col("n_windows"), F.try_divide("t", "n_templates"))).where(F.col("cover") >= COVER).select(*keys, "slots", "cover")
 
 
-def readings(hits: DataFrame, totals: DataFrame) -> DataFrame:
+def readings(hits: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, variant, reading, at, place, slots): the ways to read the hits as one copy, each with COVER of the item's windows at least."""
     copy = ["doc_id", "item_id", "variant"]
     hits = hits.withColumn("shift", F.col("at") - F.col("place"))
-    first = hits.groupBy(*copy, "place").agg(F.min_by(F.struct("at", "literal", "slots"), "at").alias("hit")).select(*copy, F.lit("first").alias("reading"), "place", "hit")
-    alone = hits.select(*copy, F.concat(F.lit("at "), F.col("shift")).alias("reading"), "place", F.struct("at", "literal", "slots").alias("hit"))
+    first = hits.groupBy(*copy, "place").agg(F.min_by(F.struct(*HIT), "at").alias("hit")).select(*copy, F.lit("first").alias("reading"), "place", "hit")
+    alone = hits.select(*copy, F.concat(F.lit("at "), F.col("shift")).alias("reading"), "place", F.struct(*HIT).alias("hit"))
     # Each shift meets those up to SHIFT beside it by way of blocks of that length.
     anchors = hits.select(*copy, F.col("shift").alias("anchor")).distinct().withColumn("block", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(F.col("anchor") / SHIFT) + x)))
     beside = hits.withColumn("block", F.floor(F.col("shift") / SHIFT)).join(anchors, [*copy, "block"]).withColumn("off", F.abs(F.col("shift") - F.col("anchor"))).where(F.col("off") <= SHIFT)
-    beside = beside.groupBy(*copy, "anchor", "place").agg(F.min_by(F.struct("at", "literal", "slots"), F.struct("off", "at")).alias("hit"))
+    beside = beside.groupBy(*copy, "anchor", "place").agg(F.min_by(F.struct(*HIT), F.struct("off", "at")).alias("hit"))
     beside = beside.select(*copy, F.concat(F.lit("near "), F.col("anchor")).alias("reading"), "place", "hit")
-    every = stored(first.unionAll(alone).unionAll(beside).select(*copy, "reading", "place", "hit.at", "hit.literal", "hit.slots"), "readings")
-    enough = _cover(every.withColumn("slots", F.size("slots")), totals, [*copy, "reading"])
+    every = stored(first.unionAll(alone).unionAll(beside).select(*copy, "reading", "place", "hit.*"), "readings")
+    enough = _cover(every.withColumn("slots", F.size("slots")), [*copy, "reading"])
     return every.join(enough.select(*copy, "reading"), [*copy, "reading"], "left_semi")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """Rows (doc_id, item_id, cover, consistent), one for each document and item (of least tokens or more) that leaks into it."""
     bench = stored(benchmark_windows(benchmark, least), "benchmark-windows")
-    totals = bench.groupBy("item_id", "variant").agg(F.count("*").alias("n_windows"), F.count_if(~F.col("literal")).alias("n_templates"))
-    sizes = sorted((r[0], r[1]) for r in bench.select("literal", "size").distinct().collect())
-    small = bench.count() <= BROADCAST_WINDOWS
-    near = F.broadcast if small else (lambda df: df)
+    # Two kinds of at most WINDOW sizes.
+    n, kinds = bench.agg(F.count("*"), F.collect_set(F.struct("literal", "size"))).first()
+    sizes = sorted((r[0], r[1]) for r in kinds)
+    near = F.broadcast if n <= BROADCAST_WINDOWS else (lambda df: df)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # From here on doc_id is the id with a hash of the text: texts of one id stay apart.
     texts = texts.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
     tokens = texts.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
     hits = _hits(tokens, bench, sizes, near)
     # An item's window counts once in a document's cover; a document's rows are combined before they move.
-    hits = hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.first("literal").alias("literal"), F.max(F.size("slots")).alias("slots"))
-    found = stored(_cover(hits, near(totals), ["doc_id", "item_id", "variant"]).withColumn("slotted", F.col("slots") > 0), "leaks")
+    hits = hits.groupBy("doc_id", "item_id", "variant", "place").agg(F.first("literal").alias("literal"), F.max(F.size("slots")).alias("slots"), F.first("n_windows").alias("n_windows"), F.first("n_templates").alias("n_templates"))
+    found = stored(_cover(hits, ["doc_id", "item_id", "variant"]).withColumn("slotted", F.col("slots") > 0), "leaks")
     slotted = found.where("slotted")
     plain = found.where("not slotted").select("doc_id", "item_id", "cover", F.lit(1.0).alias("consistent"))
     best = lambda df: df.groupBy(F.col("doc_id.doc_id").alias("doc_id"), "item_id").agg(F.max("cover").alias("cover"), F.max("consistent").alias("consistent"))
@@ -151,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     again = texts.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     again = stored(again.select("doc_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw")), "texts-with-slots")
     places = _hits(again, bench, sizes, near).join(slotted.select(*copy), copy, "left_semi").distinct()
-    slots = readings(places, totals).select(*copy, "reading", "at", "place", F.explode_outer("slots").alias("s"))
+    slots = readings(places).select(*copy, "reading", "at", "place", F.explode_outer("slots").alias("s"))
     filled = slots.join(again.select("doc_id", "raw"), "doc_id").select(*copy, "reading", F.col("s.kind").alias("kind"), F.col("s.value").alias("item_value"), F.try_element_at("raw", F.col("at") - F.col("place") + F.col("s.at") + 1).alias("doc_value"))
     pairs = stored(filled.distinct(), "fillings")
     # A reading without slots stands as it is.
