@@ -122,6 +122,27 @@ def test_requests_are_all_or_nothing(spark):
     assert [got[i][1] for i in (5, 6, 7)] == [0, 1, 2]
 
 
+def test_sequences_go_on_from_stored_state(spark):
+    window = [(s, 10 * s) for s in (4, 5)]
+    state = spark.createDataFrame([("p", "t", 0, 5, 50, window, 1000), ("q", "t", 0, 9, 90, [], 10)], model.PRODUCER_STATE)
+    rows = [("p", "t", 0, 5, 1), ("p", "t", 0, 3, 2), ("p", "t", 0, 6, 3), ("p", "t", 0, 6, 4), ("p", "u", 0, 40, 5), ("q", "t", 0, 9, 6), ("q", "t", 0, 3, 7)]
+    frame = spark.createDataFrame(rows, "producer_id string, topic string, partition int, sequence long, arrival long")
+
+    def judged(held):
+        single = idempotent.classify(frame, ["arrival"], "arrival", held)
+        whole = idempotent.classify_requests(frame.withColumn("request_id", F.col("arrival")), ["arrival"], "arrival", held)
+        out = [{r["arrival"]: (r["outcome"], r["original"], r["known_offset"]) for r in d.collect()} for d in (single, whole)]
+        assert out[0] == out[1]
+        return [out[0][i] for i in range(1, 8)]
+
+    none = (None, None)
+    assert judged(state) == [("duplicate", None, 50), ("too_low", *none), ("accept", *none), ("duplicate", 3, None), ("accept", *none), ("duplicate", None, 90), ("too_low", *none)]
+    # Idle since 10: q is forgotten, p isn't.
+    assert judged(idempotent.expire(state, 1000, 500))[5:] == [("accept", *none), ("too_low", *none)]
+    assert judged(idempotent.revoke(state, "p"))[:2] == [("accept", *none), ("too_low", *none)]
+    assert idempotent.purge_topic(state, "t").isEmpty()
+
+
 def test_lag_and_reset(spark):
     ends = spark.createDataFrame([("t", 0, 0, 10)], "topic string, partition int, start_offset long, end_offset long")
     commits = spark.createDataFrame([("g1", "t", 0, 4, 1), ("g2", "t", 0, 7, 2), ("g1", "t", 0, 3, 3), ("g3", "t", 0, 99, 4)], model.COMMIT_SCHEMA)
