@@ -391,3 +391,17 @@ def test_upkeep_counters(spark):
     assert {r["metric"]: r["value"] for r in metrics.upkeep(metrics.retention(gone)).collect()} == {"es_retention_segments_deleted_total": 2, "es_retention_bytes_reclaimed_total": 99}
     read = spark.createDataFrame([("t", b"k", b"vv"), ("t", None, b"v")], "topic string, key binary, value binary")
     assert {r["metric"]: r["value"] for r in metrics.topics(metrics.consumed(read)).collect()} == {"es_topic_records_consumed_total": 2, "es_topic_bytes_consumed_total": 4}
+
+
+def test_durations():
+    given = {"0": 0, "7d": 7 * 86_400_000, "1h 30m": 5_400_000, "1h30m": 5_400_000, "500ms": 500, "2 weeks": 1_209_600_000, "1M": 2_630_016_000, "1m": 60_000, "1y": 31_557_600_000, "1500us 600us": 2}
+    assert {text: model.duration_ms(text) for text in given} == given
+    for bad in ("", "  ", "5", "d", "1x", "-1s", "1.5h", "1h,30m", "10 s 5"):
+        with pytest.raises(LogError):
+            model.duration_ms(bad)
+
+
+def test_health(spark):
+    topics = spark.createDataFrame([], model.TOPIC_CATALOG)
+    assert catalog.health(topics).first().asDict() == {"status": "ok", "topics_count": 0}
+    assert catalog.health(catalog.create(topics, "a", 2)).first()["topics_count"] == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LOG_SCHEMA = "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary"
 COMMIT_SCHEMA = "`group` string, topic string, partition int, offset bigint, commit_seq bigint"
 PRODUCER_STATE = "producer_id string, topic string, partition int, last_seen bigint, last_offset bigint, recent array<struct<seq:bigint,offset:bigint>>, last_used_ms bigint"
@@ -35,3 +37,29 @@ class LogError(ValueError):
     def __init__(self, status: int, message: str):
         super().__init__(message)
         self.status = status
+
+
+# Units of durations and their nanoseconds; a month has 30.44 days and a year 365.25. M is a month, m a minute.
+DURATION_UNITS = {
+    "nsec ns": 1,
+    "usec us": 1_000,
+    "msec ms": 1_000_000,
+    "seconds second sec s": 1_000_000_000,
+    "minutes minute min m": 60_000_000_000,
+    "hours hour hr h": 3_600_000_000_000,
+    "days day d": 86_400_000_000_000,
+    "weeks week w": 604_800_000_000_000,
+    "months month M": 2_630_016_000_000_000,
+    "years year y": 31_557_600_000_000_000,
+}
+_NANOS = {name: nanos for names, nanos in DURATION_UNITS.items() for name in names.split()}
+
+
+def duration_ms(text: str) -> int:
+    """Whole milliseconds of a duration such as 7d, 1h 30m or 500ms: numbers with a unit each, added up. A bare 0 needs no unit."""
+    if text.strip() == "0":
+        return 0
+    parts = re.findall(r"([0-9]+)\s*([A-Za-z]+)", text)
+    if not re.fullmatch(r"(?:\s*[0-9]+\s*[A-Za-z]+)+\s*", text) or any(unit not in _NANOS for _, unit in parts):
+        raise LogError(400, f"invalid duration {text!r}")
+    return sum(int(n) * _NANOS[unit] for n, unit in parts) // 1_000_000

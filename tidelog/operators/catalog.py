@@ -55,3 +55,8 @@ def purge(name: str, *tables: DataFrame) -> list[DataFrame]:
 
 def listing(topics: DataFrame) -> DataFrame:
     return topics.orderBy("name")
+
+
+def health(topics: DataFrame) -> DataFrame:
+    """One row (status, topics_count): the catalogue could be read, and how many topics it has."""
+    return topics.agg(F.lit("ok").alias("status"), F.count("*").alias("topics_count"))
