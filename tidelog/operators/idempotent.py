@@ -71,6 +71,12 @@ def _window(last: int, last_offset: int | None, recent: list[dict] | None) -> Se
     return SequenceWindow(last, [(r["seq"], (None, r["offset"])) for r in recent or []] or [(last, (None, last_offset))])
 
 
+def _ahead(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows and the windows (_state) that they go on from. The windows are hashed by content: Spark takes a union of sides hashed alike by a place for hashed by it and leaves
+    out the shuffle, but adaptive execution merges each side's partitions by itself, so a window would be in another task than the records of its place."""
+    return rows.unionByName(windows.repartition("_state"), allowMissingColumns=True)
+
+
 def classify(records: DataFrame, order: list[str], mark: str, state: DataFrame | None = None) -> DataFrame:
     """Adds outcome (accept, duplicate, gap, too_low), original (mark of the accepted record that a duplicate repeats) and known_offset (its offset, where a former run
     stored it) to single-record requests (producer_id, topic if there is one, partition, sequence). mark: a bigint column that names a record. state: the table of
@@ -80,7 +86,7 @@ def classify(records: DataFrame, order: list[str], mark: str, state: DataFrame |
     rows = records.withColumn("_state", F.lit(None).cast(held))
     if state is not None:
         windows = state.select("producer_id", *places, F.struct("last_seen", "last_offset", "recent").cast(held).alias("_state"))
-        rows = rows.unionByName(windows, allowMissingColumns=True)
+        rows = _ahead(rows, windows)
 
     def start() -> list:
         return [SequenceWindow()]
@@ -113,7 +119,7 @@ def classify_requests(records: DataFrame, order: list[str], mark: str, state: Da
     rows = requests.withColumn("_state", F.lit(None).cast(held))
     if state is not None:
         windows = state.groupBy("producer_id").agg(F.collect_list(F.struct(where.alias("place"), "last_seen", "last_offset", "recent")).cast(held).alias("_state"))
-        rows = rows.unionByName(windows, allowMissingColumns=True)
+        rows = _ahead(rows, windows)
 
     def start() -> dict:
         return {}
