@@ -162,6 +162,24 @@ def test_state_meets_its_records_where_sides_are_hashed_alike(spark):
             spark.conf.set(k, v)
 
 
+def folds_in(df):
+    """How often a plan runs a fold, shared exchanges left aside."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_whole_requests_are_judged_once(spark):
+    rows = [("r1", "p", 0, b"k", 1), ("r1", "p", 1, b"k", 2), ("r2", "p", 0, b"k", 3), ("r2", "p", 1, b"k", 4), ("r3", "p", 9, b"k", 5), ("r4", None, None, b"k", 6), ("r5", "bad id", 1, b"k", 7), ("r6", "q", -1, b"k", 8), ("r6", "q", 0, b"k", 9)]
+    kinds = "request_id string, producer_id string, sequence long, key binary, n long"
+    frame = spark.createDataFrame(rows, kinds).withColumn("value", F.lit(b"v")).withColumn("hint", F.lit(0))
+    for ranges in (None, 2):
+        done = produce.produce(frame, 1, ["n"], "n", ranges=ranges)
+        assert ranges or folds_in(done) == 1
+        got = {r["n"]: (r["partition"], r["offset"], r["duplicate"], r["error"]) for r in done.collect()}
+        none = (None, None, None)
+        want = {1: (0, 0, False, None), 2: (0, 1, False, None), 3: (0, 0, True, None), 4: (0, 1, True, None), 5: (*none, "gap"), 6: (0, 2, False, None)}
+        assert got == {**want, 7: (*none, "bad_producer_id"), 8: (*none, "negative_sequence"), 9: (*none, "negative_sequence")}
+
+
 def test_lag_and_reset(spark):
     ends = spark.createDataFrame([("t", 0, 0, 10)], "topic string, partition int, start_offset long, end_offset long")
     commits = spark.createDataFrame([("g1", "t", 0, 4, 1), ("g2", "t", 0, 7, 2), ("g1", "t", 0, 3, 3), ("g3", "t", 0, 99, 4)], model.COMMIT_SCHEMA)
