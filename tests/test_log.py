@@ -180,6 +180,17 @@ def test_whole_requests_are_judged_once(spark):
         assert got == {**want, 7: (*none, "bad_producer_id"), 8: (*none, "negative_sequence"), 9: (*none, "negative_sequence")}
 
 
+def test_offsets_of_retries_come_from_one_fold(spark):
+    kinds = "producer_id string, topic string, partition int, sequence long, n long, timestamp_ms long"
+    rows = [("p", "t", 0, 6, 1, 10), ("q", "t", 0, 3, 2, 20), ("p", "t", 0, 6, 3, 30), ("p", "t", 0, 5, 4, 40), ("p", "t", 0, 8, 5, 50), ("p", "t", 0, 1, 6, 60), ("p", "u", 0, 9, 7, 70), ("p", "t", 0, 7, 8, 80), ("q", "t", 0, 3, 9, 90)]
+    state = spark.createDataFrame([("p", "t", 0, 5, 50, [(5, 50)], 0)], model.PRODUCER_STATE)
+    ends = spark.createDataFrame([("t", 0, 100)], "topic string, partition int, next_offset long")
+    done = idempotent.with_offsets(idempotent.classify(spark.createDataFrame(rows, kinds), ["n"], "n", state), ["n"], "n", ends)
+    assert folds_in(done) == 1
+    want = {1: (100, False), 2: (101, False), 3: (100, True), 4: (50, True), 7: (0, False), 8: (102, False), 9: (101, True)}
+    assert {r["n"]: (r["offset"], r["duplicate"]) for r in done.collect()} == want
+
+
 def test_lag_and_reset(spark):
     ends = spark.createDataFrame([("t", 0, 0, 10)], "topic string, partition int, start_offset long, end_offset long")
     commits = spark.createDataFrame([("g1", "t", 0, 4, 1), ("g2", "t", 0, 7, 2), ("g1", "t", 0, 3, 3), ("g3", "t", 0, 99, 4)], model.COMMIT_SCHEMA)

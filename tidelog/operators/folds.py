@@ -8,13 +8,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
+def _listed(column: pa.Array) -> list:
+    """The values of a column; a value by itself costs Arrow a microsecond or more, so columns without nulls and of nulls only are read as wholes."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _starts(keys: list[pa.Array], n: int) -> list[int]:
+    """Rows of a batch at which the group is another one than in the row before, the first row included."""
+    changed = np.zeros(max(n - 1, 0), dtype=bool)
+    for key in keys:
+        after, before = key.slice(1), key.slice(0, max(n - 1, 0))
+        if pa.types.is_nested(key.type):
+            changed |= np.array([a != b for a, b in zip(after.to_pylist(), before.to_pylist())], dtype=bool)
+        else:
+            one_null = pc.xor(after.is_null(), before.is_null())
+            changed |= pc.coalesce(pc.not_equal(after, before), one_null).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(changed) + 1).tolist()] if n else []
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], added: str) -> DataFrame:
     """df with the columns added (a DDL string): for each row in order, step(state, values of inputs) gives the values; state is what
     start() made for the group."""
@@ -29,13 +53,14 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            groups = zip(*(batch.column(i).to_pylist() for i in key_at))
-            rows = zip(*(batch.column(i).to_pylist() for i in input_at))
+            rows = list(zip(*(_listed(batch.column(i)) for i in input_at)))
             out = []
-            for group, row in zip(groups, rows):
+            cuts = [*_starts([batch.column(i) for i in key_at], len(rows)), len(rows)]
+            for low, high in zip(cuts, cuts[1:]):
+                group = tuple(batch.column(i)[low].as_py() for i in key_at)
                 if state is None or group != current:
                     current, state = group, start()
-                out.append(step(state, row))
+                out.extend([step(state, row) for row in rows[low:high]])
             columns = list(zip(*out)) if out else [()] * len(extra)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[*names, *extra])
 

@@ -322,7 +322,8 @@ def _retried(spark, sf):
     """Each event_id divisible by 7 is sent twice; sequences are those of the first sending."""
     order = ["ts", "event_id"]
     source = log.route(events_source(spark, sf), PARTITIONS, order).withColumn("producer_id", F.concat(F.lit("p"), (F.col("key").cast("string").cast("long") % 10).cast("string")))
-    numbered = source.withColumn("sequence", F.row_number().over(Window.partitionBy("producer_id", "partition").orderBy(*order)).cast("long") - 1)
+    # A fold carries every column it is given, and no query of these needs keys and values.
+    numbered = source.drop("key", "value").withColumn("sequence", F.row_number().over(Window.partitionBy("producer_id", "partition").orderBy(*order)).cast("long") - 1)
     attempts = F.when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return numbered.withColumn("attempt", F.explode(attempts)).withColumn("mark", F.col("event_id") * 2 + F.col("attempt"))
 
