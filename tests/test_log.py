@@ -191,6 +191,16 @@ def test_offsets_of_retries_come_from_one_fold(spark):
     assert {r["n"]: (r["offset"], r["duplicate"]) for r in done.collect()} == want
 
 
+def test_state_comes_from_one_fold(spark):
+    kinds = "producer_id string, topic string, partition int, sequence long, n long, timestamp_ms long"
+    rows = [("p", "t", 0, i, 2 * i, i) for i in range(200)] + [("p", "t", 0, 150, 301, 9_000), ("q", "t", 0, 7, 1, 5)]
+    done = idempotent.with_offsets(idempotent.classify(spark.createDataFrame(rows, kinds), ["n"], "n"), ["n"], "n")
+    state = idempotent.producer_state(done)
+    assert folds_in(state) == 1
+    got = {r["producer_id"]: (r["last_seen"], r["last_offset"], r["last_used_ms"], [tuple(w) for w in r["recent"]]) for r in state.collect()}
+    assert got == {"p": (199, 200, 9_000, [(s, s + 1) for s in range(72, 200)]), "q": (7, 1, 5, [(7, 1)])}
+
+
 def test_lag_and_reset(spark):
     ends = spark.createDataFrame([("t", 0, 0, 10)], "topic string, partition int, start_offset long, end_offset long")
     commits = spark.createDataFrame([("g1", "t", 0, 4, 1), ("g2", "t", 0, 7, 2), ("g1", "t", 0, 3, 3), ("g3", "t", 0, 99, 4)], model.COMMIT_SCHEMA)

@@ -202,11 +202,14 @@ def producer_state(with_offset: DataFrame, previous: DataFrame | None = None) ->
     if previous is not None:
         stored = F.when(F.size("recent") > 0, F.col("recent")).otherwise(F.array(F.struct(F.col("last_seen").alias("seq"), F.col("last_offset").alias("offset"))))
         old = previous.select(*places, F.col("last_used_ms").alias("used"), F.explode(stored).alias("r"))
-        new = new.unionByName(old.select(*places, "r.seq", "r.offset", "used", F.lit(False).alias("_again")))
-    used = new.groupBy(*places).agg(F.max("used").alias("last_used_ms"))
-    newest = new.where("not _again").withColumn("_r", F.row_number().over(Window.partitionBy(*places).orderBy(F.desc("offset")))).where(F.col("_r") <= PRODUCER_WINDOW)
-    windows = newest.groupBy(*places).agg(F.max("seq").alias("last_seen"), F.max_by("offset", "seq").alias("last_offset"), F.array_sort(F.collect_list(F.struct("seq", "offset"))).alias("recent"))
-    return windows.join(used, places)
+        new = _united(new, old.select(*places, "r.seq", "r.offset", "used", F.lit(False).alias("_again")), "seq")
+    # All of it in one pass, so what gave the rows runs once: duplicates rank behind all others and count for the use only.
+    rank = F.row_number().over(Window.partitionBy(*places).orderBy("_again", F.desc("offset")))
+    held = ~F.col("_again") & (rank <= PRODUCER_WINDOW)
+    marked = new.withColumn("_held", held).withColumn("seq", F.when(F.col("_held"), F.col("seq")))
+    newest = F.collect_list(F.when(F.col("_held"), F.struct("seq", "offset")))
+    windows = marked.groupBy(*places).agg(F.max("seq").alias("last_seen"), F.max_by("offset", "seq").alias("last_offset"), F.array_sort(newest).alias("recent"), F.max("used").alias("last_used_ms"))
+    return windows.where(F.size("recent") > 0)
 
 
 def expire(state: DataFrame, now_ms: int, idle_ms: int = PRODUCER_IDLE_MS) -> DataFrame:
